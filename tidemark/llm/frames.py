@@ -19,6 +19,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,8 +137,13 @@ class LibraryEncoder(CachedEncoder):
         out = {}
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[w] = array("I", e.ids).tobytes()
+            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # one call for all; each id tells its word
+            ids, word_ids = array("I", done.ids).tobytes(), done.word_ids
+            start = 0
+            for k, group in groupby(word_ids):
+                end = start + 4 * sum(1 for _ in group)
+                out[part[k]] = ids[start:end]
+                start = end
         return out
 
 
