@@ -12,10 +12,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, read
+from .common import materialize, n_partitions, read
 
 #: The Poisson distribution is tabulated up to mean + WIDE * sqrt(mean) + 20; what lies beyond has a probability below 1e-15.
 WIDE = 12
+#: Rates of more sources than these (each some hundred bytes) are not broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -63,9 +65,12 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0
 
     All columns are kept; columns of these three names are replaced. Null texts count as empty, null sources as a source; equal rows get
     equal counts. A hot source costs nothing but its rows: sizes are summed before the shuffle, and the rates (a row for each source) meet the
-    documents in a join that Spark may broadcast by their measured size or split where it is skewed.
+    documents in a broadcast join if they are at most BROADCAST_SOURCES, counted first, else in a sort-merge join, which Spark splits
+    where it is skewed.
     """
-    means = rates(df, weights, source_column, text_column).withColumnRenamed("cdf", "__cdf").select("__source", "__cdf")
+    means = materialize(rates(df, weights, source_column, text_column).select("__source", F.col("cdf").alias("__cdf")), "rates")
+    if means.count() <= BROADCAST_SOURCES:
+        means = F.broadcast(means)
     with_cdf = df.join(means, df[source_column].eqNullSafe(F.col("__source"))).drop("__source")
     u = uniform(seed, F.col(id_column), F.md5(F.coalesce(F.col(text_column), F.lit(""))))
     n = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
