@@ -44,17 +44,17 @@ def merge_ties(df: DataFrame, keys: Cols, order: Cols, tie: str, same: Cols, sta
 def anchored_clusters(df: DataFrame, keys: Cols, order: Cols, x: str, width: float, name: str = "cluster") -> DataFrame:
     """Clusters whose rows lie within ``width`` of their first row. The anchor depends on all rows before, so this folds over each key's
     ordered positions (one array of a key's rows)."""
-    rows = df.withColumn("__o", F.struct(*order, x))
+    rows = df.withColumn("__o", F.struct(*dict.fromkeys([*order, x])))
     sorted_x = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("__o")).alias("o")).select(*keys, F.transform("o", lambda s: s[x]).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<int>").alias("c"))
+    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("c"))
 
     def step(acc, v):
         new = acc["a"].isNull() | (v - acc["a"] >= width)
-        n = F.coalesce(F.try_element_at(acc["c"], F.size(acc["c"])), F.lit(-1))
-        return F.struct(F.when(new, v.cast("double")).otherwise(acc["a"]).alias("a"), F.array_append(acc["c"], F.when(new, n + 1).otherwise(n)).alias("c"))
+        n = acc["n"] + F.when(new, 1).otherwise(0)
+        return F.struct(F.when(new, v.cast("double")).otherwise(acc["a"]).alias("a"), n.alias("n"), F.array_append(acc["c"], n).alias("c"))
 
     found = sorted_x.select(*keys, F.aggregate("xs", start, step, lambda a: a["c"]).alias("__c"))
-    numbered = df.withColumn("__n", F.row_number().over(_w(keys, [*order, x])))
+    numbered = df.withColumn("__n", F.row_number().over(_w(keys, list(dict.fromkeys([*order, x])))))
     return numbered.join(found, list(keys)).withColumn(name, F.element_at("__c", F.col("__n"))).drop("__c", "__n")
 
 

@@ -151,10 +151,10 @@ def interval_bucket(spark, sf_dir):
     return joins.interval_lookup(o, spans, ["o_custkey"], "s", "s", "stop", ["band"], ["band"]).select("o_orderkey", "band")
 
 
-@query("""SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lineitem""")
 def prefix_sum(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
-    return ordered.prefix_sum(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], F.col("q")).select("l_orderkey", "l_linenumber", "start")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    return ordered.prefix_sum(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("q")).select("l_orderkey", "l_linenumber", "start")
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderstatus, lag(o_orderstatus) OVER w AS p, row_number() OVER w AS k, o_orderkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
@@ -292,10 +292,10 @@ def pitch_spelling(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN p AND h THEN 'middle' WHEN p THEN 'end' WHEN h THEN 'begin' ELSE 'single' END AS syllabic FROM (
-    SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS h, coalesce(lag(l_returnflag = 'N') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey), false) AS p FROM lineitem)""")
+    SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS h, coalesce(lag(l_returnflag = 'N') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), false) AS p FROM lineitem)""")
 def syllabic(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumn("h", F.col("l_returnflag") == "N")
-    before = F.lag("h").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    before = F.lag("h").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return rows.select("l_orderkey", "l_linenumber", scalars.syllabic(before, F.col("h")).alias("syllabic"))
 
 
