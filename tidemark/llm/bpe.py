@@ -12,26 +12,30 @@ characters, where the pattern always cuts. Both kinds of pieces are looked up in
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections import deque
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
 #: Entries of a generation of a worker's caches.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 500_000
 #: Splits a text before the merges (the byte-level rule "use_regex").
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACES = re.compile(r"\s | \s|^ | $")
+#: White space but the space and the line feed, after Unicode and after str.isspace().
+_OTHER = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def chunks(text: str) -> list[str]:
-    """Pieces whose concatenation is the text; cut before single spaces that stand between two non-space characters."""
-    parts = (_CUT.split(text) if _SPACES.search(text) else text.split(" ")) if text else []
-    return parts[:1] + [" " + x for x in parts[1:]]
+    """Pieces that give the text when joined by spaces; cut at single spaces that stand between two non-space characters."""
+    parts = text.split(" ")
+    if "" in parts or " \n" in text or "\n " in text or _OTHER.search(text):
+        return _CUT.split(text)
+    return parts
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,19 +77,22 @@ class Vocabulary:
                 self.born[t], self.parts[t] = r, (ids[a], ids[b])
             if max(self.born[ids[a]], self.born[ids[b]]) >= r or self.born[t] != r:
                 raise ValueError("a merge comes before those that make its parts, or a token has two merges")
-        #: Tokens that their own bytes encode to; no other token is ever in an encoding.
-        self.final: dict[bytes, int] = {}
-        final_ids: set[int] = set()
+
+    @cached_property
+    def final(self) -> dict[bytes, int]:
+        """Tokens that their own bytes encode to; no other token is ever in an encoding."""
+        final: dict[bytes, int] = {}
+        ids: set[int] = set()
         for i, data in sorted(((i, d) for d, i in self.id_of.items()), key=lambda x: self.born[x[0]]):
             if i not in self.parts:
                 ok = len(data) == 1
             else:
                 left, right = self.parts[i]
-                ok = left in final_ids and right in final_ids and self.side_by_side(left, right, self.born[i])
+                ok = left in ids and right in ids and self.side_by_side(left, right, self.born[i])
             if ok:
-                self.final[data] = i
-                final_ids.add(i)
-        self.longest = max(map(len, self.id_of))
+                final[data] = i
+                ids.add(i)
+        return final
 
     def side_by_side(self, left: int, right: int, until: float = float("inf")) -> bool:
         """Whether no merge crosses the border of two tokens that stand side by side, up to a rank.
@@ -143,6 +150,7 @@ class CachedEncoder:
         self.v = vocabulary
         self.limit = cache_entries
         self.pattern = regex.compile(PATTERN)
+        #: Encodings of words, and of chunks with the space before them.
         self.words, self.chunks = Recent(cache_entries), Recent(cache_entries)
         names = sorted(map(re.escape, self.v.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
@@ -151,14 +159,14 @@ class CachedEncoder:
         """Encodings (ids as little-endian unsigned 32-bit integers) of distinct words."""
         raise NotImplementedError
 
-    def _pieces(self, chunk: str) -> list[str | int]:
-        """The words of a chunk by the pattern, and the ids of added tokens."""
-        if (body := chunk[1:] if chunk[0] == " " else chunk).isalpha():
-            return [chunk]
-        if body[:-1].isalpha():  # letters and one other character: the pattern always cuts between them
-            return [chunk[:-1], chunk[-1]]
+    def _pieces(self, chunk: str, space: str) -> list[str | int]:
+        """The words of a chunk by the pattern, and the ids of added tokens; ``space``: what stands before the chunk."""
+        if chunk.isalpha():
+            return [space + chunk]
+        if (body := chunk[:-1]).isalpha():  # letters and one other character: the pattern always cuts between them
+            return [space + body, chunk[-1]]
         words: list[str | int] = []
-        for part in self.special.split(chunk) if self.special else [chunk]:
+        for part in self.special.split(space + chunk) if self.special else [space + chunk]:
             if part in self.v.added:
                 words.append(self.v.added[part])
             elif part:
@@ -167,23 +175,34 @@ class CachedEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text as little-endian unsigned 32-bit integers; null and the empty text have none."""
-        cut = [chunks(t) if t else [] for t in texts]
-        self.chunks.rotate()
-        self.words.rotate()
-        known, of = self.chunks.__getitem__, self.words.__getitem__
-        for cs in cut:
-            deque(map(known, cs), 0)
-        split = [(c, self._pieces(c)) for c in self.chunks.taken()]
-        for _, ws in split:
-            for w in ws:
-                if type(w) is str:
-                    of(w)
-        if fresh := self.words.taken():
-            self.words.update(self.encode_words(fresh))
-        put = self.chunks
-        for c, ws in split:
-            put[c] = of(ws[0]) if len(ws) == 1 and type(ws[0]) is str else b"".join([of(w) if type(w) is str else w.to_bytes(4, "little") for w in ws])
-        return [b"".join(map(known, cs)) for cs in cut]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the caches are large
+        try:
+            cut = [chunks(t) if t else [] for t in texts]
+            self.chunks.rotate()
+            self.words.rotate()
+            known, of = self.chunks.__getitem__, self.words.__getitem__
+            firsts = [self._pieces(cs[0], "") if cs and cs[0] else [] for cs in cut]
+            for cs in cut:
+                del cs[:1]
+                deque(map(known, cs), 0)
+            split = [(c, self._pieces(c, " ")) for c in self.chunks.taken()]
+            for ws in firsts:
+                deque(map(of, [w for w in ws if type(w) is str]), 0)
+            for _, ws in split:
+                for w in ws:
+                    if type(w) is str:
+                        of(w)
+            if fresh := self.words.taken():
+                self.words.update(self.encode_words(fresh))
+            joined = lambda ws: b"".join([of(w) if type(w) is str else w.to_bytes(4, "little") for w in ws])
+            put = self.chunks
+            for c, ws in split:
+                put[c] = of(ws[0]) if len(ws) == 1 and type(ws[0]) is str else joined(ws)
+            return [joined(ws) + b"".join(map(known, cs)) for ws, cs in zip(firsts, cut, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
 
 
 class TrieEncoder(CachedEncoder):
