@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, read
 from .statistics import NAMES, vector
 
-#: Bound of the training sample (labelled documents), trees, their depth, the L1 penalty and its steps.
-SAMPLE, TREES, DEPTH, PENALTY, STEPS = 20_000, 12, 3, 1e-3, 400
+#: Bound of the training sample (labelled documents), trees, their depth, the L1 penalty, its steps, and the fewest documents of a node.
+SAMPLE, TREES, DEPTH, PENALTY, STEPS, LEAF = 20_000, 12, 3, 1e-3, 400, 3
 #: A document with a lower score is rejected.
 ACCEPT_AT = 0.3
 
@@ -27,13 +27,13 @@ def _grow(x, residual, hessian, bins, rows, depth, path, paths, out):
         paths.append(tuple(path))
     g, h = residual[rows].sum(), hessian[rows].sum() + 1.0
     best = (1e-6, None, None)
-    if depth and len(rows) >= 20:
+    if depth and len(rows) >= 2 * LEAF:
         for f in range(x.shape[1]):
             b = bins[rows, f]
             gl, hl = np.cumsum(np.bincount(b, residual[rows], 33)), np.cumsum(np.bincount(b, hessian[rows], 33)) + 1.0
             n = np.cumsum(np.bincount(b, minlength=33))
             gain = gl**2 / hl + (g - gl) ** 2 / np.maximum(h - hl + 1.0, 1e-9) - g * g / h
-            gain[(n < 5) | (n > len(rows) - 5)] = 0
+            gain[(n < LEAF) | (n > len(rows) - LEAF)] = 0
             if gain.max() > best[0]:
                 best = (float(gain.max()), f, int(gain.argmax()))
     if best[1] is None:

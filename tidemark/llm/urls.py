@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 #: Hashed features, n-gram lengths, and the score from which a URL is blocked.
-DIM, GRAMS, BLOCK_AT = 1 << 14, (3, 4, 5), 0.5
+DIM, GRAMS, BLOCK_AT = 1 << 14, (3, 4, 5), 0.6
 #: The rules of the query: (verdict, host, start of the path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 _SPAM = "casino-win spam-farm cheap-pills free-bets adult-x ads-track casino pills-shop bets viagra porn xxx-cams loan-fast replica-watch click-bait-ads malware-drop free-money lottery-win escort hot-singles".split()
