@@ -10,6 +10,8 @@ from .statistics import counts
 
 #: Buckets of hashed n-grams, the smoothing of a bucket, and the ratio per n-gram below which a document is dropped.
 DIM, SMOOTH, KEEP_AT = 1 << 15, 1.0, -0.3
+#: Documents labelled good that the trusted counts are taken from, at most; the raw counts are those of all documents.
+TRUSTED = 100_000
 #: Base rules: fewest words, and most words of a hundred that stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -30,24 +32,29 @@ def grams(text: str | None):
     return out
 
 
-def totals(df: DataFrame, text_column: str = "text"):
-    """Counts of every bucket over all rows: DIM numbers, summed in each task before the shuffle."""
+def totals(df: DataFrame, flag: str, text_column: str = "text"):
+    """Counts of every bucket over the rows where ``flag`` is true, and over all rows: one scan, 2 * DIM numbers of a task, summed
+    before they reach the driver."""
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(DIM, np.int64)
+        total, flagged = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total += grams(t)
+            for t, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = grams(t)
+                total += g
+                if good:
+                    flagged += g
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flagged[at], pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "flagged", "n"])
 
-    out = np.zeros(DIM, np.int64)
-    for r in df.select(text_column).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+    flagged, out = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
+    counted = df.select(text_column, flag).mapInArrow(run, "bucket int, flagged long, n long")
+    for r in counted.groupBy("bucket").agg(F.sum("flagged").alias("flagged"), F.sum("n").alias("n")).collect():
+        flagged[r["bucket"]], out[r["bucket"]] = r["flagged"], r["n"]
+    return flagged, out
 
 
 def log_ratios(trusted, raw):
@@ -84,15 +91,16 @@ def judge(df: DataFrame, ratios, text_column: str = "text") -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= KEEP_AT))
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents labelled good: all of them. The join is by id; neither side's size is assumed."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("__id"), "left_semi")
+def with_trusted(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+    """``docs`` with ``__good``: whether the document is one of at most ``most`` labelled good, chosen by the id's hash. That many ids
+    are broadcast, whatever the size of the input, so no text is shuffled."""
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
+    return docs.join(F.broadcast(good), F.col("doc_id") == F.col("__id"), "left").withColumn("__good", F.col("__id").isNotNull()).drop("__id")
 
 
 def ratios_of(spark, sf_dir: str):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return log_ratios(totals(trusted_documents(docs, read(spark, sf_dir, "labels"))), totals(docs))
+    return log_ratios(*totals(with_trusted(docs, read(spark, sf_dir, "labels")), "__good"))
 
 
 def op10_likelihood_ratio(spark, sf_dir):
