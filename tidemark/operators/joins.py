@@ -34,8 +34,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: Cols, at: str, left_id: str
     l = left.select(*keys, at, F.struct(*left.columns).alias("__l"))  # noqa: E741
     both = l.unionByName(r.withColumn("__s", F.struct("__at", "__r")).drop("__r", "__at"), allowMissingColumns=True)
     back = W.partitionBy(*keys).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(*keys).orderBy(at).rangeBetween(W.currentRow, W.unboundedFollowing)
-    found = both.withColumn("__b", F.last("__s", ignorenulls=True).over(back)).withColumn("__a", F.first("__s", ignorenulls=True).over(ahead)).where("__l is not null")
+    # looking ahead is looking back in descending order: a frame that ends at the current row grows row by row
+    ahead = W.partitionBy(*keys).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__b", F.last("__s", ignorenulls=True).over(back)).withColumn("__a", F.last("__s", ignorenulls=True).over(ahead)).where("__l is not null")
     near = lambda c: F.struct(F.abs(F.col(at) - F.col(f"{c}.__at")).alias("d"), F.col(f"{c}.__r").alias("r"))
     best = found.withColumn("__n", F.array_min(F.filter(F.array(near("__b"), near("__a")), lambda s: s["d"].isNotNull()))).where("__n is not null")
     if limit is not None:

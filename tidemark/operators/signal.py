@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def interpolate(knots: DataFrame, grid: DataFrame, keys, at: str, value: str) -> DataFrame:
-    """Linear interpolation of the knots at the grid's places; outside it keeps the first or last value. One union and one sort."""
+    """Linear interpolation of the knots at the grid's places; outside it keeps the first or last value. One union and a sort each way."""
     both = knots.select(*keys, at, F.struct(at, value).alias("__k")).unionByName(grid.select(*keys, at, F.lit(True).alias("__g")), allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy(at)
     lo = F.last("__k", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
-    hi = F.first("__k", ignorenulls=True).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))
+    # looking ahead is looking back in descending order: a frame that ends at the current row grows row by row
+    hi = F.last("__k", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
     found = both.withColumn("__lo", lo).withColumn("__hi", hi).where("__g")
     a, b, x = F.col("__lo"), F.col("__hi"), F.col(at)
     inner = a[value] + (b[value] - a[value]) * (x - a[at]) / (b[at] - a[at])
