@@ -19,6 +19,7 @@ from collections import deque
 from collections.abc import Iterable
 from functools import cached_property, lru_cache
 
+import numpy as np
 import regex
 
 #: Entries of a generation of a worker's caches.
@@ -154,6 +155,9 @@ class CachedEncoder:
         self.words, self.chunks = Recent(cache_entries), Recent(cache_entries)
         names = sorted(map(re.escape, self.v.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
+        of = self.v.bytes_of
+        #: Bytes of each token.
+        self.lengths = np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64)
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Encodings (ids as little-endian unsigned 32-bit integers) of distinct words."""
@@ -209,8 +213,6 @@ class TrieEncoder(CachedEncoder):
     """Encodes words by a walk over their trie, and decodes."""
 
     def __init__(self, vocabulary: Vocabulary, cache_entries: int = CACHE_ENTRIES):
-        import numpy as np
-
         super().__init__(vocabulary, cache_entries)
         self.fits: dict[int, bool] = {}
         #: Suffix states: the longest end of the bytes so far that some token begins with, and the tokens that end there.
@@ -220,7 +222,6 @@ class TrieEncoder(CachedEncoder):
         self.tokens: list[list[tuple[int, int]]] = [[]]
         self.moves: dict[int, int] = {}
         of = self.v.bytes_of
-        self.lengths = np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(of.get(i, b"") for i in range(max(of) + 1)), np.uint8)
 
@@ -286,8 +287,6 @@ class TrieEncoder(CachedEncoder):
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids (as ``encode`` gives them); bytes that are no UTF-8 become U+FFFD."""
-        import numpy as np
-
         at = np.frombuffer(ids, "<u4")
         out = []
         for i in range(0, len(at), 1 << 16):  # bounded working memory
