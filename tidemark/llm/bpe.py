@@ -15,7 +15,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-from collections import deque
 from collections.abc import Iterable
 from functools import cached_property, lru_cache
 
@@ -116,21 +115,17 @@ class Vocabulary:
 
 
 class Recent(dict):
-    """A bounded cache in two generations; ``rotate`` makes the younger one the older one when it is full.
-
-    A look-up takes what the older generation has; a key that both lack is noted in ``fresh`` and must be set afterwards.
-    """
+    """A bounded cache in two generations; ``rotate`` makes the younger one the older one when it is full."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old, self.fresh = limit, {}, []
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            self.fresh.append(key)
-            found = b""
-        self[key] = found
+        self.limit, self.old = limit, {}
+
+    def look(self, key):
+        """The value or None; what only the older generation has is taken into the younger one."""
+        found = self.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self[key] = found
         return found
 
     def rotate(self) -> None:
@@ -138,11 +133,6 @@ class Recent(dict):
             self.old = dict(self)
             self.clear()
 
-    def taken(self) -> list:
-        """The keys that were lacking since the last call."""
-        out, self.fresh = self.fresh, []
-        return out
-
 
 class CachedEncoder:
     """Encodes whole texts by way of their distinct words. One instance serves a Python worker; its caches are bounded."""
@@ -151,8 +141,8 @@ class CachedEncoder:
         self.v = vocabulary
         self.limit = cache_entries
         self.pattern = regex.compile(PATTERN)
-        #: Encodings of words, and of chunks with the space before them.
-        self.words, self.chunks = Recent(cache_entries), Recent(cache_entries)
+        #: Encodings of chunks with the space before them, so also of words that are a space and letters; of other words.
+        self.chunks, self.words = Recent(cache_entries), Recent(cache_entries)
         names = sorted(map(re.escape, self.v.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
         of = self.v.bytes_of
@@ -177,33 +167,62 @@ class CachedEncoder:
                 words += self.pattern.findall(part)
         return words
 
+    def _place(self, word: str) -> tuple[Recent, str]:
+        """The cache that holds a word, and its key there."""
+        if word[0] == " " and (body := word[1:]).isalpha():
+            return self.chunks, body
+        return self.words, word
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text as little-endian unsigned 32-bit integers; null and the empty text have none."""
         collects = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the caches are large
         try:
-            cut = [chunks(t) if t else [] for t in texts]
             self.chunks.rotate()
             self.words.rotate()
-            known, of = self.chunks.__getitem__, self.words.__getitem__
+            known, look, place = self.chunks, self.chunks.look, self._place
+            cut = [chunks(t) if t else [] for t in texts]
             firsts = [self._pieces(cs[0], "") if cs and cs[0] else [] for cs in cut]
+            found, gaps, fresh = [], [], {}  # encodings by chunk; where they lack; chunks to encode
             for cs in cut:
                 del cs[:1]
-                deque(map(known, cs), 0)
-            split = [(c, self._pieces(c, " ")) for c in self.chunks.taken()]
-            for ws in firsts:
-                deque(map(of, [w for w in ws if type(w) is str]), 0)
-            for _, ws in split:
+                ids = [*map(known.get, cs)]
+                found.append(ids)
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    c = cs[at]
+                    gaps.append((ids, at, c))
+                    if c not in fresh and look(c) is None:
+                        fresh[c] = None
+            split = [(c, self._pieces(c, " ")) for c in fresh if not c.isalpha()]
+            words = {" " + c: (known, c) for c in fresh if c.isalpha()}
+            for ws in [*firsts, *(ws for _, ws in split)]:
+                for w in ws:
+                    if type(w) is str and w not in words:
+                        cache, key = place(w)
+                        if cache.look(key) is None:
+                            words[w] = cache, key
+            if words:
+                for w, ids in self.encode_words(list(words)).items():
+                    cache, key = words[w]
+                    cache[key] = ids
+
+            def joined(ws: list[str | int]) -> bytes:
+                parts = []
                 for w in ws:
                     if type(w) is str:
-                        of(w)
-            if fresh := self.words.taken():
-                self.words.update(self.encode_words(fresh))
-            joined = lambda ws: b"".join([of(w) if type(w) is str else w.to_bytes(4, "little") for w in ws])
-            put = self.chunks
+                        cache, key = place(w)
+                        parts.append(cache[key])
+                    else:
+                        parts.append(w.to_bytes(4, "little"))
+                return b"".join(parts)
+
             for c, ws in split:
-                put[c] = of(ws[0]) if len(ws) == 1 and type(ws[0]) is str else joined(ws)
-            return [joined(ws) + b"".join(map(known, cs)) for ws, cs in zip(firsts, cut, strict=True)]
+                known[c] = joined(ws)
+            for ids, at, c in gaps:
+                ids[at] = known[c]
+            return [joined(ws) + b"".join(ids) for ws, ids in zip(firsts, found, strict=True)]
         finally:
             if collects:
                 gc.enable()
