@@ -148,3 +148,26 @@ def test_signal(spark):
     assert signal.timeline([("a", 0.1, 0.2), ("b", 0.15, 0.3)]) == [("_", 0.0, 0.1), ("a", 0.1, 0.2), ("b", 0.2, 0.3)]
     frames = spark.createDataFrame([("t", i, [float(i)] * 4) for i in range(3)], "track string, frame_idx long, samples array<float>")
     assert signal.per_track(frames, np.cumsum).orderBy("frame_idx").collect()[-1]["samples"][-1] == 12.0
+
+
+def test_music_characters_and_known_tokens(spark):
+    df = spark.createDataFrame([("\uf041\uf0c4x", ["a", "q", "b"]), ("", []), (None, None)], "ch string, ps array<string>")
+    got = df.select(text.music_char("ch").alias("c"), text.known_tokens(F.col("ps"), {"a": "AA", "b": "B"}).alias("t")).collect()
+    assert [(r.c, r.t) for r in got] == [("A\u0192x", ["AA", "B"]), ("", []), (None, None)]
+
+
+def test_even_picks_and_map_union(spark):
+    df = spark.createDataFrame([(list(range(7)), {1: "a"}, {1: "b", 2: "c"}), ([1], None, {2: "c"}), ([], {1: "a"}, None)], "xs array<int>, a map<int,string>, b map<int,string>")
+    got = df.select(scalars.even_picks(F.col("xs"), 3).alias("p"), scalars.map_union(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [(r.p, r.m) for r in got] == [([0, 2, 4], {1: "a", 2: "c"}), ([1], {2: "c"}), ([], {1: "a"})]
+
+
+def test_chords_pickups_and_marks(spark):
+    chords = spark.createDataFrame([(1, [60, 67, 64]), (2, []), (3, None)], "id int, ps array<int>")
+    assert sorted(map(tuple, ordered.chord_voices(chords, "ps").collect())) == [(1, 60, 3), (1, 64, 2), (1, 67, 1)]
+    rows = spark.createDataFrame([(1, 1, 1, None), (1, 2, 4, 1), (1, 3, 4, None), (2, 1, 4, None)], "k int, n int, len int, mark int")
+    assert sorted((r.k, r.n) for r in ordered.pickup_numbers(rows, ["k"], ["n"], "n", F.col("len") < 4).collect()) == [(1, 0), (1, 1), (1, 2), (2, 1)]
+    marked = ordered.persist_in_bar(rows, ["k"], ["n"], F.col("mark"), F.lit(0), "alter").orderBy("k", "n").collect()
+    assert [r.alter for r in marked] == [0, 1, 1, 0]
+    scaled = ordered.rescale_to_first(rows, ["k"], ["n"], "len", F.lit(2)).orderBy("k", "n").collect()
+    assert [r.len for r in scaled] == [2.0, 8.0, 8.0, 2.0]

@@ -117,3 +117,17 @@ def split_duration(divisions: Column, shapes: list[int]) -> Column:
 
     start = F.struct(divisions.cast("long").alias("left"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(shape, start, take, lambda a: F.when(a["left"] > 0, F.array_append(a["out"], a["left"])).otherwise(a["out"]))
+
+
+def even_picks(values: Column, k: int) -> Column:
+    """At most k elements of an array: all, or those at floor(i * n / k) for i from 0 to k - 1."""
+    n = F.size(values)
+    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(values, F.floor(i.cast("long") * n / k).cast("int")))
+    return F.when(n <= k, values).otherwise(at)
+
+
+def map_union(own: Column, other: Column) -> Column:
+    """All entries of two maps; where both have a key, ``own`` counts. A null map is empty."""
+    a, b = F.coalesce(F.map_entries(own), F.array()), F.coalesce(F.map_entries(other), F.array())
+    lacking = F.filter(b, lambda e: ~F.coalesce(F.map_contains_key(own, e["key"]), F.lit(False)))
+    return F.map_from_entries(F.concat(a, lacking))

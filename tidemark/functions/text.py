@@ -97,3 +97,15 @@ def split_syllables(phones: Sequence[str], n: int, vowels: frozenset[str]) -> li
         onset, nucleus, coda = out.pop()
         out += [(onset, nucleus, []), ([], nucleus, coda)]
     return out
+
+
+def music_char(ch: Column) -> Column:
+    """Private-use characters U+F020 to U+F0FF stand for Mac Roman bytes; others stay."""
+    codes = range(0x20, 0x100)
+    return F.translate(ch, "".join(chr(0xF000 + b) for b in codes), bytes(codes).decode("mac_roman"))
+
+
+def known_tokens(phones: Column, table: dict[str, str]) -> Column:
+    """The table's entries of an array of phones, in order; phones that it lacks are dropped."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
+    return F.filter(F.transform(phones, lambda p: F.try_element_at(pairs, p)), lambda p: p.isNotNull())

@@ -129,6 +129,35 @@ def continue_words(df: DataFrame, keys: Cols, order: Cols, text: str, hyphen: st
     return out.withColumn("__e", ends).withColumn("word", F.coalesce(F.sum("__e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__e")
 
 
+def persist_in_bar(df: DataFrame, keys: Cols, order: Cols, mark: Column, default: Column, name: str) -> DataFrame:
+    """A mark holds for the rows after it with the same keys (bar and pitch class), until the next mark; before any, ``default`` holds."""
+    return forward_fill(df, keys, order, mark, name).withColumn(name, F.coalesce(F.col(name), default))
+
+
+def pickup_numbers(df: DataFrame, keys: Cols, order: Cols, number: str, short: Column) -> DataFrame:
+    """Numbers count from 0 where the first row of a key is ``short`` (a pickup bar): all of the key's are lowered by one."""
+    first = F.first(F.coalesce(short, F.lit(False))).over(_w(keys, order))
+    return df.withColumn(number, F.col(number) - first.cast("int"))
+
+
+def rescale_to_first(df: DataFrame, keys: Cols, order: Cols, value: str, wanted: Column) -> DataFrame:
+    """All values of a key times wanted / first value, so the first becomes ``wanted``; null where the first is null or 0."""
+    first = F.first(value).over(_w(keys, order))
+    return df.withColumn(value, F.try_divide(F.col(value) * wanted, first))
+
+
+def chord_voices(df: DataFrame, pitches: str, name: str = "midi") -> DataFrame:
+    """A row for each pitch of a chord (array), the highest first: adds ``voice`` from 1 and the pitch. Empty and null chords have no row."""
+    return df.select(*[c for c in df.columns if c != pitches], F.posexplode(F.sort_array(F.col(pitches), asc=False)).alias("__p", name)).withColumn("voice", F.col("__p") + 1).drop("__p")
+
+
+def stacked_numbers(df: DataFrame, keys: Cols, order: Cols, x: str, text: str, upper: Column, width: float) -> DataFrame:
+    """Digits in columns of ``width`` (x to the nearest column, halves to the even one): keys, place, and the digits above and below put together in order."""
+    read = lambda side: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(side, F.struct(*order, F.col(text).alias("__t"))))), lambda s: s["__t"]))
+    cut = df.withColumn("place", F.bround(F.col(x) / width).cast("int"))
+    return cut.groupBy(*keys, "place").agg(read(upper).alias("above"), read(~upper).alias("below"))
+
+
 def top_k(df: DataFrame, keys: Cols, order: Sequence, k: int) -> DataFrame:
     """The first k rows of each key."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= k).drop("__n")

@@ -355,3 +355,45 @@ def fewest_words(spark, sf_dir):
     glued = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", "").alias("g"))
     parts = F.filter(F.split(F.regexp_replace("g", "(..)", "$1 "), " "), lambda p: p != "")
     return glued.select("doc_id", text.segment_column(parts, DICTIONARY).alias("ends"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_suppkey AS sk, l_quantity::BIGINT AS q, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 END AS mark FROM lineitem)
+    SELECT l_orderkey, l_linenumber, q, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey, q % 2 ORDER BY l_linenumber, pk, sk, q ROWS UNBOUNDED PRECEDING), 0)::INT AS alter FROM r""")
+def accidental_memory(spark, sf_dir):
+    rows = bars(spark, sf_dir).withColumn("c", F.col("q") % 2)
+    mark = F.when(F.col("opens"), 1).when(F.col("closes"), -1)
+    return ordered.persist_in_bar(rows, ["l_orderkey", "c"], LINE, mark, F.lit(0), "alter").select("l_orderkey", "l_linenumber", "q", "alter")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_suppkey AS sk, l_quantity::BIGINT AS q FROM lineitem)
+    SELECT l_orderkey, q, (l_linenumber - (first_value(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, pk, sk, q) < 10)::INT)::INT AS number FROM r""")
+def pickup_numbering(spark, sf_dir):
+    rows = bars(spark, sf_dir).withColumn("number", F.col("l_linenumber"))
+    return ordered.pickup_numbers(rows, ["l_orderkey"], LINE, "number", F.col("q") < 10).select("l_orderkey", "q", "number")
+
+
+@query(f"""{EVENTS} SELECT event_id, (cents * 120)::DOUBLE / nullif(first_value(cents) OVER (PARTITION BY user_id ORDER BY s, event_id), 0) AS cents FROM e""")
+def tempo_override(spark, sf_dir):
+    return ordered.rescale_to_first(events(spark, sf_dir), ["user_id"], ["s", "event_id"], "cents", F.lit(120)).select("event_id", "cents")
+
+
+@query("""SELECT l_orderkey, l_quantity::BIGINT AS midi, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC)::INT AS voice FROM lineitem""")
+def chord_voices(spark, sf_dir):
+    chords = bars(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("q").alias("chord"))
+    return ordered.chord_voices(chords, "chord").select("l_orderkey", "midi", "voice")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_suppkey AS sk, l_quantity::BIGINT AS q, l_linestatus = 'F' AS up FROM lineitem)
+    SELECT l_orderkey, round_even(q / 3.0::DOUBLE, 0)::INT AS place, coalesce(string_agg(q::VARCHAR, '' ORDER BY l_linenumber, pk, sk, q) FILTER (WHERE up), '') AS above,
+        coalesce(string_agg(q::VARCHAR, '' ORDER BY l_linenumber, pk, sk, q) FILTER (WHERE NOT up), '') AS below FROM r GROUP BY ALL""")
+def stacked_numbers(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_linestatus")
+    rows = rows.withColumn("digits", F.col("q").cast("string"))
+    return ordered.stacked_numbers(rows, ["l_orderkey"], LINE, "q", "digits", F.col("l_linestatus") == "F", 3.0)
+
+
+@query(f"""{EVENTS}, l AS (SELECT user_id, list(cents ORDER BY s, event_id) AS xs FROM e GROUP BY user_id)
+    SELECT user_id, array_to_string(CASE WHEN len(xs) <= 20 THEN xs ELSE list_transform(range(20), lambda i: xs[(i * len(xs)) // 20 + 1]) END, ',') AS picks FROM l""")
+def even_picks(spark, sf_dir):
+    e = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "event_id", "cents"))), lambda r: r["cents"]).alias("xs"))
+    return e.select("user_id", F.array_join(scalars.even_picks(F.col("xs"), 20).cast("array<string>"), ",").alias("picks"))
