@@ -15,10 +15,12 @@ from __future__ import annotations
 import gc
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Entries of a generation of a worker's caches.
@@ -30,12 +32,21 @@ _OTHER = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces that give the text when joined by spaces; cut at single spaces that stand between two non-space characters."""
-    parts = text.split(" ")
-    if "" in parts or " \n" in text or "\n " in text or _OTHER.search(text):
-        return _CUT.split(text)
-    return parts
+def is_plain(text: str) -> bool:
+    """Whether every space of a non-empty text stands between two non-space characters."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER.search(text))
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[list[int], pa.Array]]:
+    """Non-empty texts by position, and a list of pieces of each that give it when joined by spaces; cut at single spaces that stand between
+    two non-space characters. Texts with other spaces come apart from those without."""
+    plain = [i for i, t in enumerate(texts) if t and is_plain(t)]
+    if plain:
+        yield plain, pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+    alone = set(plain)
+    others = [i for i, t in enumerate(texts) if t and i not in alone]
+    if others:
+        yield others, pa.array([_CUT.split(texts[i]) for i in others], pa.list_(pa.large_string()))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -180,53 +191,94 @@ class CachedEncoder:
         try:
             self.chunks.rotate()
             self.words.rotate()
-            known, look, place = self.chunks, self.chunks.look, self._place
-            cut = [chunks(t) if t else [] for t in texts]
-            firsts = [self._pieces(cs[0], "") if cs and cs[0] else [] for cs in cut]
-            found, gaps, fresh = [], [], {}  # encodings by chunk; where they lack; chunks to encode
-            for cs in cut:
-                del cs[:1]
-                ids = [*map(known.get, cs)]
-                found.append(ids)
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    c = cs[at]
-                    gaps.append((ids, at, c))
-                    if c not in fresh and look(c) is None:
-                        fresh[c] = None
-            split = [(c, self._pieces(c, " ")) for c in fresh if not c.isalpha()]
-            words = {" " + c: (known, c) for c in fresh if c.isalpha()}
-            for ws in [*firsts, *(ws for _, ws in split)]:
-                for w in ws:
-                    if type(w) is str and w not in words:
-                        cache, key = place(w)
-                        if cache.look(key) is None:
-                            words[w] = cache, key
-            if words:
-                for w, ids in self.encode_words(list(words)).items():
-                    cache, key = words[w]
-                    cache[key] = ids
-
-            def joined(ws: list[str | int]) -> bytes:
-                parts = []
-                for w in ws:
-                    if type(w) is str:
-                        cache, key = place(w)
-                        parts.append(cache[key])
-                    else:
-                        parts.append(w.to_bytes(4, "little"))
-                return b"".join(parts)
-
-            for c, ws in split:
-                known[c] = joined(ws)
-            for ids, at, c in gaps:
-                ids[at] = known[c]
-            return [joined(ws) + b"".join(ids) for ws, ids in zip(firsts, found, strict=True)]
+            out = [b""] * len(texts)
+            for rows, cut in chunks(texts):
+                for i, ids in zip(rows, self._encode_cut(cut), strict=True):
+                    out[i] = ids
+            return out
         finally:
             if collects:
                 gc.enable()
 
+    def _encode_cut(self, cut: pa.Array) -> list[bytes]:
+        """Encodings of texts that are cut into chunks. Each distinct chunk is looked up once; the texts' ids are gathered from its ids."""
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        later = np.ones(len(at), bool)
+        later[offsets[:-1]] = False
+        firsts = [self._pieces(names[k], "") for k in at[offsets[:-1]].tolist()]
+        at = at[later]
+        used = np.zeros(len(names), bool)
+        used[at] = True
+        at = (np.cumsum(used) - 1)[at]
+        names = [names[k] for k in np.flatnonzero(used).tolist()]
+        found = self._encode_chunks(names, firsts)
+        blob = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = np.empty(ends[-1], "<u4")
+        for i in range(0, len(at), 1 << 18):  # bounded working memory
+            part = at[i : i + (1 << 18)]
+            lo, hi = ends[i : i + len(part)], ends[i + len(part)]
+            ids[lo[0] : hi] = blob[np.arange(lo[0], hi) + np.repeat(starts[part] - lo, sizes[part])]
+        stops = ends[offsets - np.arange(len(offsets))].tolist()
+        return [self._joined(ws) + ids[a:b].tobytes() for ws, a, b in zip(firsts, stops, stops[1:], strict=False)]
+
+    def _encode_chunks(self, names: list[str], firsts: list[list[str | int]]) -> list[bytes]:
+        """Encodings of distinct chunks with the space before them; the words of ``firsts`` are then in the caches too."""
+        known, old, place = self.chunks, self.chunks.old, self._place
+        found = [*map(known.get, names)]
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        letters, ended, split = {}, [], []  # bodies to encode after a space; chunks of a body and one other character; other chunks
+        for k in gaps:
+            c = names[k]
+            if (ids := old.get(c)) is not None:
+                known[c] = ids
+            elif c.isalpha():
+                letters[c] = None
+            elif (body := c[:-1]).isalpha():
+                if body not in known and known.look(body) is None:
+                    letters[body] = None
+                ended.append((c, body))
+            else:
+                split.append((c, self._pieces(c, " ")))
+        words = {}
+        for ws in [*firsts, sorted({c[-1] for c, _ in ended}), *(ws for _, ws in split)]:
+            for w in ws:
+                if type(w) is str and w not in words:
+                    cache, key = place(w)
+                    if cache is known and key in letters:
+                        continue
+                    if cache.look(key) is None:
+                        words[w] = cache, key
+        spaced = [" " + c for c in letters]
+        if spaced or words:
+            made = self.encode_words([*spaced, *words])
+            known.update(zip(letters, map(made.__getitem__, spaced), strict=True))
+            for w, (cache, key) in words.items():
+                cache[key] = made[w]
+        ends = self.words
+        for c, body in ended:
+            known[c] = known[body] + ends[c[-1]]
+        for c, ws in split:
+            known[c] = self._joined(ws)
+        for k in gaps:
+            found[k] = known[names[k]]
+        return found
+
+    def _joined(self, words: list[str | int]) -> bytes:
+        """The ids of words that are in the caches, and of added tokens."""
+        parts = []
+        for w in words:
+            if type(w) is str:
+                cache, key = self._place(w)
+                parts.append(cache[key])
+            else:
+                parts.append(w.to_bytes(4, "little"))
+        return b"".join(parts)
+
 
 class TrieEncoder(CachedEncoder):
     """Encodes words by a walk over their trie, and decodes."""
@@ -330,7 +382,6 @@ def encode_decode(df, path: str, id_column: str = "doc_id", text_column: str = "
     Null and empty texts have no tokens and decode to the empty text; repeated rows give repeated rows; further
     columns of the input are not carried.
     """
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
     def run(batches):
