@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text
-from tidemark.operators import aggregates, joins, ordered, signal
+from tidemark.operators import aggregates, joins, ordered, signal, structure
 
 
 def one(spark, **columns):
@@ -171,3 +171,37 @@ def test_chords_pickups_and_marks(spark):
     assert [r.alter for r in marked] == [0, 1, 1, 0]
     scaled = ordered.rescale_to_first(rows, ["k"], ["n"], "len", F.lit(2)).orderBy("k", "n").collect()
     assert [r.len for r in scaled] == [2.0, 8.0, 8.0, 2.0]
+
+
+def test_keep_apart_is_not_transitive(spark):
+    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 0.8), ("a", 3, 1.6), ("b", 4, 0.5), ("a", 5, None)], "word string, k int, x double")
+    rows = structure.keep_apart(df.where("x is not null"), ["word"], ["k"], "x", 1.0).collect()
+    assert sorted(map(tuple, rows)) == [("a", 0.0), ("a", 1.6), ("b", 0.5)]
+
+
+def test_fill_rests_leaves_overlaps_out(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.5, 4.0), (1, 3.0, 3.5), (2, 0.0, 4.0)], "bar int, s double, e double")
+    rows = sorted(map(tuple, structure.fill_rests(df, ["bar"], ["s"], "s", "e", F.lit(4.0)).collect()))
+    assert rows == [(1, 0.0, 1.0, True), (1, 1.0, 2.0, False), (1, 2.0, 3.0, True), (1, 3.0, 3.5, False), (1, 3.5, 4.0, True), (2, 0.0, 4.0, False)]
+
+
+def test_share_budget_scales_a_coda_with_the_next_onset(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.2, 1.0), (1, 2, 0.2, 0.1, 0.2), (1, 3, 0.3, 0.1, 1.0)], "k int, i int, on_d double, co_d double, room double")
+    rows = structure.share_budget(df, ["k"], ["i"], "on_d", "co_d", F.col("room")).orderBy("i").collect()
+    assert [(round(r["on_d"], 6), round(r["co_d"], 6)) for r in rows] == [(0.5, 0.2), (0.2, 0.05), (0.15, 0.1)]
+
+
+def test_pitch_errors_need_three_voiced_frames(spark):
+    notes = spark.createDataFrame([(1, 1, 440.0, 0.0, 1.0), (1, 2, 440.0, 1.0, 1.0)], "k int, note int, target double, start double, dur double")
+    frames = spark.createDataFrame([(1, t, hz) for t, hz in ((0.1, 100.0), (0.35, 880.0), (0.4, 880.0), (0.5, 870.0), (0.6, 0.0), (1.4, 440.0), (1.5, 440.0), (1.6, 0.0))], "k int, t double, hz double")
+    rows = structure.pitch_errors(notes, frames, ["k"], "note", "target", 1.0).collect()
+    assert [(r["note"], r["n"], round(r["cents"], 6)) for r in rows] == [(1, 3, 1200.0)]
+
+
+def test_bar_lengths_and_empty_tables(spark):
+    rows = [(1, 1, "a", 4.0), (1, 1, "b", 3.0), (1, 2, "a", 3.0), (1, 2, "b", 4.0), (1, 2, "c", 3.0), (1, 3, "a", 2.0)]
+    df = spark.createDataFrame(rows, "k int, bar int, voice string, dur double")
+    found = structure.bar_lengths(df, ["k"], "bar", "voice", "dur", F.lit(3.0)).orderBy("bar").collect()
+    assert [r["length"] for r in found] == [4.0, 3.0, 2.0]
+    assert structure.bar_lengths(df.limit(0), ["k"], "bar", "voice", "dur", F.lit(3.0)).isEmpty()
+    assert structure.keep_apart(df.limit(0), ["k"], ["bar"], "dur", 1.0).isEmpty()

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars, text
-from .operators import aggregates, joins, ordered, signal
+from .operators import aggregates, joins, ordered, signal, structure
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -397,3 +397,94 @@ def stacked_numbers(spark, sf_dir):
 def even_picks(spark, sf_dir):
     e = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "event_id", "cents"))), lambda r: r["cents"]).alias("xs"))
     return e.select("user_id", F.array_join(scalars.even_picks(F.col("xs"), 20).cast("array<string>"), ",").alias("picks"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, (epoch_us(o_orderdate) // 86400000000)::BIGINT AS d FROM orders),
+    p AS (SELECT o_custkey, o_orderkey, d, unnest(range(d // 28, (d + 44) // 28 + 1)) AS bar FROM o)
+    SELECT o_orderkey, greatest(d, bar * 28)::BIGINT AS start, least(d + 45, bar * 28 + 28)::BIGINT AS stop, d >= bar * 28 AS first FROM p""")
+def split_at_bars(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("d"))
+    notes = o.select("o_custkey", "o_orderkey", F.col("d").alias("l_start"), (F.col("d") + 45).alias("l_end"))
+    crossed = F.explode(F.sequence(F.floor(F.col("d") / 28), F.floor((F.col("d") + 44) / 28)))
+    bars = o.select("o_custkey", crossed.alias("bar")).distinct().select("o_custkey", (F.col("bar") * 28).alias("r_start"), (F.col("bar") * 28 + 28).alias("r_end"))
+    return structure.split_at_bars(notes, bars, ["o_custkey"], 56.0).select("o_orderkey", "start", "stop", "first")
+
+
+VOICES = """r AS (SELECT l_orderkey AS o, l_suppkey % 20 AS s, l_suppkey % 20 + l_quantity::BIGINT % 7 + 1 AS e, l_quantity::BIGINT AS q,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 20, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)"""
+
+
+def voices(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    return rows.withColumn("s", F.col("l_suppkey") % 20).withColumn("e", F.col("s") + F.col("q") % 7 + 1)
+
+
+@query(f"""WITH RECURSIVE {VOICES},
+    w AS (SELECT DISTINCT o, 0::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS before, 0::BIGINT AS at, false AS kept FROM r
+        UNION ALL SELECT r.o, r.k, r.s, w.at, CASE WHEN r.s >= w.at THEN r.e ELSE w.at END, r.s >= w.at FROM w JOIN r ON r.o = w.o AND r.k = w.k + 1),
+    l AS (SELECT o, max(at) AS at FROM w GROUP BY o)
+    SELECT o AS l_orderkey, s AS start, at AS stop, false AS is_rest FROM w WHERE kept
+    UNION ALL SELECT o, before, s, true FROM w WHERE kept AND before < s
+    UNION ALL SELECT o, at, 32, true FROM l WHERE at < 32""")
+def fill_rests(spark, sf_dir):
+    return structure.fill_rests(voices(spark, sf_dir), ["l_orderkey"], ["s", "l_linenumber", "l_partkey", "l_suppkey", "q"], "s", "e", F.lit(32).cast("long"))
+
+
+@query(f"""WITH RECURSIVE {VOICES},
+    w AS (SELECT DISTINCT o, 0::BIGINT AS k, []::BIGINT[] AS xs FROM r
+        UNION ALL SELECT r.o, r.k, CASE WHEN len(list_filter(w.xs, lambda x: abs(x - r.q) < 6)) = 0 THEN list_append(w.xs, r.q) ELSE w.xs END FROM w JOIN r ON r.o = w.o AND r.k = w.k + 1),
+    l AS (SELECT o, arg_max(xs, k) AS xs FROM w GROUP BY o)
+    SELECT o AS l_orderkey, unnest(xs) AS q FROM l""")
+def keep_apart(spark, sf_dir):
+    return structure.keep_apart(voices(spark, sf_dir), ["l_orderkey"], ["s", "l_linenumber", "l_partkey", "l_suppkey", "q"], "q", 6)
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, abs(l_quantity::BIGINT - 20) + CASE WHEN l_linestatus = 'F' THEN 4 ELSE 0 END AS score, l_linestatus = 'F' AS above FROM lineitem),
+    k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score, l_linenumber, above, l_partkey) AS i FROM c WHERE score < 15)
+    SELECT l_orderkey, score, l_linenumber, above, l_partkey FROM k WHERE i = 1""")
+def best_scoring(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").withColumn("dx", F.abs(F.col("l_quantity").cast("long") - 20))
+    sides = [rows.where(f"l_linestatus {'=' if above else '<>'} 'F'").select("l_orderkey", "l_linenumber", (F.col("dx") + (4 if above else 0)).alias("score"), F.lit(above).alias("above"), "l_partkey") for above in (False, True)]
+    return structure.best_scoring(sides, ["l_orderkey"], "score", "l_linenumber", F.col("score") < 15)
+
+
+@query("""WITH v AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity::BIGINT % 3 + 1)::BIGINT AS n FROM lineitem GROUP BY ALL),
+    m AS (SELECT l_suppkey, l_orderkey, n, count(*) AS c, min(l_linenumber) AS v FROM v GROUP BY ALL),
+    b AS (SELECT l_suppkey, l_orderkey, max(n) AS most, first(n ORDER BY c DESC, v) AS mode FROM m GROUP BY ALL)
+    SELECT l_suppkey, l_orderkey, CASE WHEN mode = 2 AND l_orderkey <> min(l_orderkey) OVER (PARTITION BY l_suppkey) THEN 2 ELSE most END AS length FROM b""")
+def bar_lengths(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") % 3 + 1).alias("dur"))
+    return structure.bar_lengths(rows, ["l_suppkey"], "l_orderkey", "l_linenumber", "dur", F.lit(2).cast("long"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, (o_orderkey % 100)::DOUBLE AS s, (o_custkey % 7 + 1)::DOUBLE AS d, (o_custkey % 4)::INT AS w FROM orders)
+    SELECT o_orderkey, part::INT AS part, s + d * part / greatest(w, 1) AS start, d / greatest(w, 1) AS dur FROM (SELECT *, unnest(range(greatest(w, 1))) AS part FROM n)""")
+def share_evenly(spark, sf_dir):
+    notes = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("double").alias("start"), (F.col("o_custkey") % 7 + 1).cast("double").alias("dur"), (F.col("o_custkey") % 4).alias("w"))
+    return structure.share_evenly(notes, "start", "dur", F.col("w")).drop("w")
+
+
+@query(f"""{EVENTS}, n AS (SELECT *, CASE WHEN s - lag(s) OVER w > {GAP} THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM n)
+    SELECT user_id, island, max(s) AS s, bool_or(cents > 9000) AS thick, bool_or(event_type = 'purchase') AS closes FROM i GROUP BY user_id, island""")
+def cluster_extents(spark, sf_dir):
+    return structure.cluster_extents(events(spark, sf_dir), ["user_id"], ["s", "event_id"], "s", GAP, thick=F.col("cents") > 9000, closes=F.col("event_type") == "purchase")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, (l_suppkey % 10)::DOUBLE AS onset, (l_partkey % 10)::DOUBLE AS coda, l_quantity * 0.5::DOUBLE AS budget FROM lineitem),
+    n AS (SELECT *, coda + coalesce(lead(onset) OVER w, 0) AS need FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q)),
+    s AS (SELECT *, CASE WHEN need > budget THEN budget / need ELSE 1.0::DOUBLE END AS scale FROM n)
+    SELECT l_orderkey, l_linenumber, q, onset * coalesce(lag(scale) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q), 1) AS onset, coda * scale AS coda FROM s""")
+def share_budget(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), (F.col("l_suppkey") % 10).cast("double").alias("onset"), (F.col("l_partkey") % 10).cast("double").alias("coda"))
+    return structure.share_budget(rows, ["l_orderkey"], LINE, "onset", "coda", F.col("q") * 0.5).select("l_orderkey", "l_linenumber", "q", "onset", "coda")
+
+
+@query(f"""{EVENTS}, m AS (SELECT n.user_id, n.event_id, n.cents AS target, count(*) AS n, median(f.cents::DOUBLE) AS mid FROM e n JOIN e f
+        ON f.user_id = n.user_id AND f.cents > 0 AND f.s >= n.s + 0.3::DOUBLE * 1000000 AND f.s < n.s + 0.7::DOUBLE * 1000000 WHERE n.cents > 0 GROUP BY ALL HAVING count(*) >= 3)
+    SELECT user_id, event_id, n, round(1200 * log2(mid / target), 6) AS cents FROM m""")
+def pitch_errors(spark, sf_dir):
+    e = events(spark, sf_dir).where("cents > 0")
+    notes = e.select("user_id", "event_id", F.col("cents").alias("target"), F.col("s").alias("start"), F.lit(1000000).alias("dur"))
+    found = structure.pitch_errors(notes, e.select("user_id", F.col("s").alias("t"), F.col("cents").cast("double").alias("hz")), ["user_id"], "event_id", "target", 400000.0)
+    return found.withColumn("cents", F.round("cents", 6))
