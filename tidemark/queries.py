@@ -420,12 +420,12 @@ def voices(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {VOICES},
-    w AS (SELECT DISTINCT o, 0::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS before, 0::BIGINT AS at, false AS kept FROM r
-        UNION ALL SELECT r.o, r.k, r.s, w.at, CASE WHEN r.s >= w.at THEN r.e ELSE w.at END, r.s >= w.at FROM w JOIN r ON r.o = w.o AND r.k = w.k + 1),
-    l AS (SELECT o, max(at) AS at FROM w GROUP BY o)
-    SELECT o AS l_orderkey, s AS start, at AS stop, false AS is_rest FROM w WHERE kept
+    w AS (SELECT DISTINCT o, 0::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS before, 0::BIGINT AS cur, false AS kept FROM r
+        UNION ALL SELECT r.o, r.k, r.s, w.cur, CASE WHEN r.s >= w.cur THEN r.e ELSE w.cur END, r.s >= w.cur FROM w JOIN r ON r.o = w.o AND r.k = w.k + 1),
+    l AS (SELECT o, max(cur) AS cur FROM w GROUP BY o)
+    SELECT o AS l_orderkey, s AS start, cur AS stop, false AS is_rest FROM w WHERE kept
     UNION ALL SELECT o, before, s, true FROM w WHERE kept AND before < s
-    UNION ALL SELECT o, at, 32, true FROM l WHERE at < 32""")
+    UNION ALL SELECT o, cur, 32, true FROM l WHERE cur < 32""")
 def fill_rests(spark, sf_dir):
     return structure.fill_rests(voices(spark, sf_dir), ["l_orderkey"], ["s", "l_linenumber", "l_partkey", "l_suppkey", "q"], "s", "e", F.lit(32).cast("long"))
 
