@@ -204,6 +204,23 @@ def test_likelihood_ratio(spark):
     assert likelihood.grams(long).sum() == len(long) - 2
 
 
+def test_all_trusted_documents_are_counted(spark):
+    n = 120_000  # more than the 100,000 that once were the most
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted, raw = likelihood.totals(likelihood.with_trusted(docs, labels), "__good")
+    assert trusted.sum() == raw.sum() == 2 * n
+
+
+def test_trusted_counts_do_not_depend_on_blocks(spark):
+    texts = random_texts(300)
+    docs = table(spark, texts + ODD, [*range(300), *[None] * len(ODD)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)] + [(1, 1), (None, 1)], "doc_id long, quality int")
+    for most in (60, 10_000):
+        trusted, raw = likelihood.trusted_and_raw(docs, labels, most)
+        assert (trusted == sum(likelihood.grams(t) for i, t in enumerate(texts) if i % 3)).all() and (raw == sum(likelihood.grams(t) for t in texts + ODD)).all()
+
+
 def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n  http://www.apache.org/licenses/LICENSE-2.0\n\nx."
     texts = [*ODD, "Foo.\nReleased under the MIT License.\nBar", "Licensed under the Apache License, Version 2.0. All rights reserved.", "This program is distributed in the hope that it will be useful, but\nWITHOUT ANY WARRANTY; without even the implied warranty of x.", apache]

@@ -10,8 +10,8 @@ from .statistics import counts
 
 #: Buckets of hashed n-grams, the smoothing of a bucket, and the ratio per n-gram below which a document is dropped.
 DIM, SMOOTH, KEEP_AT = 1 << 15, 1.0, -0.3
-#: Documents labelled good that the trusted counts are taken from, at most; the raw counts are those of all documents.
-TRUSTED = 100_000
+#: Ids of documents labelled good that are broadcast at once (8 bytes each). More of them take more scans, so that all are counted.
+BLOCK = 5_000_000
 #: Base rules: fewest words, and most words of a hundred that stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -91,16 +91,45 @@ def judge(df: DataFrame, ratios, text_column: str = "text") -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= KEEP_AT))
 
 
-def with_trusted(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """``docs`` with ``__good``: whether the document is one of at most ``most`` labelled good, chosen by the id's hash. That many ids
-    are broadcast, whatever the size of the input, so no text is shuffled."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.join(F.broadcast(good), F.col("doc_id") == F.col("__id"), "left").withColumn("__good", F.col("__id").isNotNull()).drop("__id")
+def good_ids(labels: DataFrame) -> DataFrame:
+    """``__id``: the distinct ids labelled good, as longs."""
+    return labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
+
+
+def with_trusted(docs: DataFrame, labels: DataFrame, block: int = 0, blocks: int = 1) -> DataFrame:
+    """``docs`` with ``__good``: whether the document is labelled good and its id falls into this one of ``blocks`` parts by hash. The ids
+    of the part are broadcast as a sorted array, so no text is shuffled."""
+    import numpy as np
+
+    part = good_ids(labels).where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == block)
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(part.toArrow()["__id"].to_numpy()))
+
+    @F.arrow_udf("boolean")
+    def known(ids):
+        import pyarrow as pa
+
+        at, all_ids = ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value
+        if not len(all_ids):
+            return pa.array(np.zeros(len(at), bool))
+        found = all_ids[np.minimum(np.searchsorted(all_ids, at), len(all_ids) - 1)] == at
+        return pa.array(found & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    return docs.withColumn("__good", known(F.col("doc_id").cast("long")))
+
+
+def trusted_and_raw(docs: DataFrame, labels: DataFrame, most: int = BLOCK):
+    """Counts over all documents labelled good, and over all documents: one scan for each ``most`` good ids, of which only the first
+    counts the other documents."""
+    blocks = max(1, -(-good_ids(labels).count() // most))
+    trusted, raw = totals(with_trusted(docs, labels, 0, blocks), "__good")
+    for block in range(1, blocks):
+        trusted += totals(with_trusted(docs, labels, block, blocks).where("__good"), "__good")[0]
+    return trusted, raw
 
 
 def ratios_of(spark, sf_dir: str):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return log_ratios(*totals(with_trusted(docs, read(spark, sf_dir, "labels")), "__good"))
+    return log_ratios(*trusted_and_raw(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_likelihood_ratio(spark, sf_dir):
