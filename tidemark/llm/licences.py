@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Known licence sentences, by identifier, in normalised form. Texts of public licences and usual notices.
+#: Known licence sentences, by identifier, in normalised form. Texts of public licences and usual notices, as the cut yields
+#: them (a notice with ; or : inside a sentence gives several identifiers in a row), and uncut where other marks are usual as well.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl3-line": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
     "apache2-line": ("licensed under the apache license version 2 0", "this work is licensed under the apache license version 2 0"),
@@ -22,47 +23,73 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "ccby4-line": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     "ccbysa4-line": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     "cc0-line": ("licensed under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"),
-    "mpl2-form": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "mpl2-copy": ("if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",),
-    "gpl-redistribute-3": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "gpl-redistribute-2": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
-    "gpl-warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
+    "mpl2-form": ("this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v"),
+    "mpl2-copy": ("if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    "gpl-redistribute-3": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    "gpl-redistribute-2": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    "gpl-redistribute": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    "gpl-version-3": ("either version 3 of the license or at your option any later version",),
+    "gpl-version-2": ("either version 2 of the license or at your option any later version",),
+    "gpl-hope": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "gpl-warranty": ("without even the implied warranty of merchantability or fitness for a particular purpose", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     "gpl-details": ("see the gnu general public license for more details",),
     "gpl-received": ("you should have received a copy of the gnu general public license along with this program",),
-    "apache2-grant": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",),
-    "apache2-copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
+    "apache2-grant": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license"),
+    "apache2-comply": ("you may not use this file except in compliance with the license",),
+    "apache2-copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    "apache2-url": ("http www apache org licenses license 2 0", "https www apache org licenses license 2 0"),
+    "apache2-copy-asis": ("you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     "apache2-asis": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
     "apache2-see": ("see the license for the specific language governing permissions and limitations under the license",),
-    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    "mit-notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
     "mit-asis": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
     "mit-liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
     "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "isc-asis": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
-    "bsd-conditions": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    "bsd-conditions": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    "bsd-retain": ("1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     "bsd-binary": ("2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    "bsd-endorse": ("3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd-endorse": ("3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "bsd-asis": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
     "rights-reserved": ("all rights reserved",),
 }
 
 #: Ordered licence rules: the first that fits takes its identifiers; longer ones stand before their parts.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("GPL-3.0-or-later", ("gpl-redistribute-3", "gpl-hope", "gpl-warranty", "gpl-details", "gpl-received")),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-version-3", "gpl-hope", "gpl-warranty", "gpl-details", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl-redistribute-2", "gpl-hope", "gpl-warranty", "gpl-details", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-version-2", "gpl-hope", "gpl-warranty", "gpl-details", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-redistribute-3", "gpl-warranty", "gpl-details", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-redistribute-3", "gpl-warranty", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl-redistribute-2", "gpl-warranty", "gpl-details", "gpl-received")),
     ("GPL-2.0-or-later", ("gpl-redistribute-2", "gpl-warranty", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-redistribute-3",)),
     ("GPL-2.0-or-later", ("gpl-redistribute-2",)),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-version-3")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-version-2")),
+    ("Apache-2.0", ("apache2-grant", "apache2-comply", "apache2-copy-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-grant", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see")),
+    ("Apache-2.0", ("apache2-grant", "apache2-comply", "apache2-url", "apache2-asis", "apache2-see")),
     ("Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-asis", "apache2-see")),
     ("Apache-2.0", ("apache2-grant", "apache2-copy")),
     ("Apache-2.0", ("apache2-grant",)),
+    ("Apache-2.0", ("apache2-copy-asis",)),
+    ("Apache-2.0", ("apache2-comply", "apache2-copy")),
+    ("Apache-2.0", ("apache2-comply", "apache2-url")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liability")),
     ("MIT", ("mit-grant", "mit-asis", "mit-liability")),
     ("MIT", ("mit-grant", "mit-asis")),
+    ("MIT", ("mit-notice", "mit-asis")),
     ("ISC", ("isc-grant", "isc-asis")),
+    ("BSD-3-Clause", ("bsd-retain", "bsd-binary", "bsd-endorse", "bsd-asis")),
     ("BSD-3-Clause", ("bsd-conditions", "bsd-binary", "bsd-endorse", "bsd-asis")),
+    ("BSD-2-Clause", ("bsd-retain", "bsd-binary", "bsd-asis")),
     ("BSD-2-Clause", ("bsd-conditions", "bsd-binary", "bsd-asis")),
     ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-form",)),
+    ("MPL-2.0", ("mpl2-copy",)),
     ("GPL-3.0", ("gpl3-line",)),
     ("Apache-2.0", ("apache2-line",)),
     ("MIT", ("mit-line",)),
