@@ -10,11 +10,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, mixing, simhash
+from tidemark.llm import components, language, mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 #: Has enough labels to hold some out.
 LABELLED = "/root/testdata/sf0.01"
+#: Has enough documents for centroids that are near those of larger tables.
+LARGER = "/root/testdata/sf0.1"
 
 
 def brute_print(text):
@@ -192,3 +194,14 @@ def test_held_out_accuracy(spark, name):
     else:
         r = out.join(spark.read.parquet(f"{LABELLED}/labels.parquet"), "doc_id").agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0]
     assert r >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables")
+def test_text_in_no_known_language_is_rejected(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    model = language.train(language.for_training(docs))
+    rnd = random.Random(1)
+    letters = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(200))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    assert model.predict(letters)[2] and model.predict(polish)[2]
+    assert language.predict(docs, model).where("lang_rejected").count() <= 5  # of 10,000; the texts without a letter would count as well
