@@ -196,6 +196,28 @@ def test_held_out_accuracy(spark, name):
     assert r >= 0.9
 
 
+def test_tables_do_not_grow_with_the_mean(spark):
+    """Means of about 5,000 and 2,000,000: a table of a bounded length, and the sum of the parts' counts."""
+    import hashlib
+
+    rows = [(1, "a", "few"), (2, "b" * 9_999, "many")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rates = {r["__source"]: r for r in mixing.rates(df).collect()}
+    mean, parts = rates["few"]["mean"], 4
+    assert mean == 5000 and len(rates["few"]["cdf"]) < 2000
+    us = [(int(hashlib.md5(f"0|1|{hashlib.md5(b'a').hexdigest()}{x}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48) for x in ("", "|1", "|2", "|3")]
+    c, t, cdf = 0.0, -mean / parts, []
+    for k in range(2000):
+        c += math.exp(t)
+        cdf.append(c)
+        t += math.log(mean / parts / (k + 1))
+    want = sum(sum(x < u for x in cdf) for u in us)
+    assert mixing.mix(df).where("source = 'few'").count() == want and 4500 < want < 5500
+    tiny = spark.createDataFrame([(1, "a", "few"), (2, "b" * 4_000_000, "many")], df.schema)
+    n = mixing.mix(tiny, shuffle=False).where("source = 'few'").select("n_copies").first()[0]
+    assert abs(n - 2_000_000) < 10_000
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables")
 def test_text_in_no_known_language_is_rejected(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")

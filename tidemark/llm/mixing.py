@@ -2,7 +2,7 @@
 
 Every document gets a count from a Poisson distribution whose mean is its source's repetition rate: the source's share of the
 mixture over its size. The distribution is inverted at a uniform number made of a hash of seed, id and text, so the result depends on
-the rows alone, not on partitions or attempts. Documents are exploded by their counts and dealt out by a second hash.
+the rows alone, not on partitions or attempts. A mean above MOST_MEAN is split into equal parts, whose counts, each with its own hash, are summed. Documents are exploded by their counts and dealt out by a second hash.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .common import materialize, n_partitions, read
 
 #: The Poisson distribution is tabulated up to mean + WIDE * sqrt(mean) + 20; what lies beyond has a probability below 1e-15.
 WIDE = 12
+#: A larger mean is the sum of equal parts of at most this, so that a table has at most 1,985 entries.
+MOST_MEAN = 1500
 #: Rates of more sources than these (each some hundred bytes) are not broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -40,7 +42,8 @@ def cdf(mean: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None = None, source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """One row for each source: source (null is a source too), size (code points of its texts), mean (copies of a document on average), cdf.
+    """One row for each source: source (null is a source too), size (code points of its texts), mean (copies of a document on average), parts (of the mean, each at
+    most MOST_MEAN), cdf (of a part).
 
     ``weights``: relative shares of the mixture in code points, sources without one get none; default: equal shares. The mixture is as
     large as the input. A source without any text gets mean 0.
@@ -56,7 +59,7 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, source_colu
     shares = sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(0.0))
     whole = shares.agg(F.sum("size").alias("all"), F.sum("weight").alias("weights"))  # one row
     mean = F.when(F.col("weights") * F.col("size") > 0, F.col("weight") / F.col("weights") * F.col("all") / F.col("size")).otherwise(0.0)
-    return shares.crossJoin(F.broadcast(whole)).withColumn("mean", mean).withColumn("cdf", cdf(F.col("mean"))).select("__source", "size", "mean", "cdf")
+    return shares.crossJoin(F.broadcast(whole)).withColumn("mean", mean).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / MOST_MEAN).cast("int"))).withColumn("cdf", cdf(F.col("mean") / F.col("parts"))).select("__source", "size", "mean", "parts", "cdf")
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", shuffle: bool = True) -> DataFrame:
@@ -68,13 +71,16 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0
     documents in a broadcast join if they are at most BROADCAST_SOURCES, counted first, else in a sort-merge join, which Spark splits
     where it is skewed.
     """
-    means = materialize(rates(df, weights, source_column, text_column).select("__source", F.col("cdf").alias("__cdf")), "rates")
+    means = materialize(rates(df, weights, source_column, text_column).select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "rates")
     if means.count() <= BROADCAST_SOURCES:
         means = F.broadcast(means)
     with_cdf = df.join(means, df[source_column].eqNullSafe(F.col("__source"))).drop("__source")
-    u = uniform(seed, F.col(id_column), F.md5(F.coalesce(F.col(text_column), F.lit(""))))
-    n = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
-    out = with_cdf.withColumn("__u", u).withColumn("n_copies", n).drop("__cdf", "__u").where("n_copies > 0")
+    digest = F.md5(F.coalesce(F.col(text_column), F.lit("")))
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c < u))
+    # the parts after the first hash their number as well; the array of one digest keeps it from being made for each part
+    more = lambda t: F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda p: uniform(seed, F.col(id_column), t, p)), F.lit(0), lambda n, u: n + below(u))
+    rest = F.when(F.col("__parts") > 1, F.element_at(F.transform(F.array(digest), more), 1)).otherwise(0)
+    out = with_cdf.withColumn("__u", uniform(seed, F.col(id_column), digest)).withColumn("n_copies", below(F.col("__u")) + rest).drop("__cdf", "__parts", "__u").where("n_copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", uniform(seed + 1, F.col(id_column), F.col("copy")))
     if not shuffle:
