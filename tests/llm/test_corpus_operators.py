@@ -101,6 +101,13 @@ def test_near_duplicates(spark):
     assert len(nobody) == 2
 
 
+def test_components_that_share_their_smallest_id_keep_a_row_each(spark):
+    one, two = " ".join(f"w{i}" for i in range(400)), "other words than those " * 50
+    df = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two)], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1}
+    assert sorted(map(tuple, simhash.deduplicate(df).collect())) == sorted([(1, one), (1, two)])
+
+
 def poisson_count(mean, u):
     k, p = 0, math.exp(-mean)
     total = p

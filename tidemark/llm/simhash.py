@@ -162,7 +162,8 @@ def links(prints: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Data
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row for each input row: id, text_hash (XXH64 of the text), fingerprint (long), component_id (the smallest id that links reach).
+    """One row for each input row: id, text_hash (XXH64 of the text), fingerprint (long), component_id (the smallest id that links reach),
+    root (the fingerprint that names the component; ids may repeat, roots do not).
 
     Fingerprints link at ``radius`` or fewer differing bits. Null, empty and blank texts have fingerprint zero and link
     like any other. Repeated rows stay; null ids stay, and count for the component only if it has no other (then its id is null).
@@ -175,8 +176,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     roots = prints.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     firsts = materialize(roots, "roots")
     ids = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = firsts.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_column), "text_hash", F.col("fp").alias("fingerprint"), "component_id")
+    of_print = firsts.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
+    return rows.join(of_print, "fp").select(F.col("id").alias(id_column), "text_hash", F.col("fp").alias("fingerprint"), "component_id", "root")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -185,10 +186,9 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     Of rows that are equal in both one is kept; a component whose ids are all null keeps one as well.
     """
     found = near_duplicates(df, id_column, text_column, radius)
-    # the root fingerprint tells components without an id apart
+    # the root fingerprint tells components apart that have no id, or the same smallest one
     lowest = F.min(F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.col("text_hash").alias("h"))).alias("low")
-    group = [F.coalesce(F.col("component_id"), F.lit(-(1 << 63))).alias("__c"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__f")]
-    keep = found.groupBy(*group).agg(lowest).select(F.coalesce(F.col("low.i"), F.lit(-(1 << 63))).alias("__k"), F.col("low.h").alias("__h"))
+    keep = found.groupBy("root").agg(lowest).select(F.coalesce(F.col("low.i"), F.lit(-(1 << 63))).alias("__k"), F.col("low.h").alias("__h"))
     keyed = df.withColumns({"__k": F.coalesce(F.col(id_column), F.lit(-(1 << 63))), "__h": text_hash(text_column)})
     return keyed.join(keep, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).drop("__k", "__h")
 
