@@ -205,3 +205,17 @@ def test_bar_lengths_and_empty_tables(spark):
     assert [r["length"] for r in found] == [4.0, 3.0, 2.0]
     assert structure.bar_lengths(df.limit(0), ["k"], "bar", "voice", "dur", F.lit(3.0)).isEmpty()
     assert structure.keep_apart(df.limit(0), ["k"], ["bar"], "dur", 1.0).isEmpty()
+
+
+def test_interpolation_across_blocks_with_missing_knots(spark, tmp_path):
+    from tidemark import queries
+
+    ids = [3, 7, 6995, 6998, 7001, 7008, 21001, 21002, 35000, 35001]  # no 7000; no knot at all in the block from 21000
+    rows = [(i, i * 10.0) for i in ids]
+    spark.createDataFrame(rows, "event_id long, value double").selectExpr("event_id", "timestamp_ntz'2020-01-01' AS ts", "1L AS user_id", "'a' AS event_type", "value", "'' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, queries.interpolate_grid(spark, str(tmp_path)).collect()))
+    import pytest
+
+    assert [x for x, _ in got] == ids[1:]
+    want = {7: 7, 35000: 35000, 35001: 35000}
+    assert [y for _, y in got] == pytest.approx([1000.0 * want.get(i, i) for i in ids[1:]])

@@ -330,12 +330,22 @@ def verse_pick(spark, sf_dir):
 @query(f"""{EVENTS}, k AS (SELECT event_id AS x, cents AS y, lead(event_id) OVER (ORDER BY event_id) AS x2, lead(cents) OVER (ORDER BY event_id) AS y2 FROM e WHERE event_id % 7 = 0)
     SELECT e.event_id AS x, (CASE WHEN e.event_id = k.x OR k.x2 IS NULL THEN k.y::DOUBLE ELSE k.y + (k.y2 - k.y) * (e.event_id - k.x)::DOUBLE / (k.x2 - k.x) END)::DOUBLE AS y FROM e ASOF JOIN k ON e.event_id >= k.x""")
 def interpolate_grid(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.lit(0).alias("one"), F.col("event_id").alias("x"), F.col("cents").alias("y"))
-    # blocks of the axis: a knot also serves the block before and the block after it, so blocks are independent
-    size = 7 * 1000
-    knots = e.where("x % 7 = 0").withColumn("block", F.explode(F.array(F.floor(F.col("x") / size), F.floor((F.col("x") - 7) / size), F.floor((F.col("x") + 7) / size)))).distinct()
+    return _between_knots(events(spark, sf_dir).select(F.col("event_id").alias("x"), F.col("cents").alias("y")))
+
+
+def _between_knots(e: DataFrame, size: int = 7 * 1000) -> DataFrame:
+    """The y of the rows whose x is a multiple of 7, interpolated at every x from the first of them on. Blocks of the axis are independent: each
+    also gets the last knot before it and the first one after it, found among one row for each block."""
     grid = e.withColumn("block", F.floor(F.col("x") / size))
-    return signal.interpolate(knots, grid, ["block"], "x", "y").select("x", "y")
+    own = grid.where("x % 7 = 0").select("block", "x", "y").distinct()
+    knot = F.when(F.col("x") % 7 == 0, F.struct("x", "y"))
+    blocks = grid.groupBy("block").agg(F.min(knot).alias("first"), F.max(knot).alias("last"))
+    before = F.last("last", ignorenulls=True).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    after = F.last("first", ignorenulls=True).over(W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1))
+    around = blocks.select("block", F.array_compact(F.array(before, after)).alias("ks")).select("block", F.explode("ks").alias("k")).select("block", "k.x", "k.y")
+    start = own.agg(F.min("x").alias("__start"))
+    reached = grid.crossJoin(F.broadcast(start)).where(F.col("x") >= F.col("__start")).drop("__start")
+    return signal.interpolate(own.unionByName(around), reached, ["block"], "x", "y").select("x", "y")
 
 
 @query(f"""{EVENTS}, l AS (SELECT user_id, list(cents::DOUBLE ORDER BY s, event_id) AS xs FROM e GROUP BY user_id) SELECT user_id, list_reduce(xs, lambda y, x: y * 0.5::DOUBLE + x) AS last, len(xs) AS n FROM l""")
