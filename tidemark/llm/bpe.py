@@ -23,8 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Entries of a generation of a worker's caches.
-CACHE_ENTRIES = 500_000
+#: Entries of a generation of a worker's caches, and the longest word that they keep: some 300 bytes an entry, whatever the texts.
+CACHE_ENTRIES, LONGEST = 500_000, 64
 #: Splits a text before the merges (the byte-level rule "use_regex").
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space but the space and the line feed, after Unicode and after str.isspace().
@@ -153,7 +153,9 @@ class CachedEncoder:
         self.limit = cache_entries
         self.pattern = regex.compile(PATTERN)
         #: Encodings of chunks with the space before them, so also of words that are a space and letters; of other words.
-        self.chunks, self.words = Recent(cache_entries), Recent(cache_entries)
+        self.chunks, self.words = Recent(cache_entries), Recent(cache_entries // 5)
+        #: Longer words of the texts at hand: encoded like others, and forgotten with them.
+        self.long: list[tuple[Recent, str]] = []
         names = sorted(map(re.escape, self.v.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
         of = self.v.bytes_of
@@ -224,7 +226,11 @@ class CachedEncoder:
             lo, hi = ends[i : i + len(part)], ends[i + len(part)]
             ids[lo[0] : hi] = blob[np.arange(lo[0], hi) + np.repeat(starts[part] - lo, sizes[part])]
         stops = ends[offsets - np.arange(len(offsets))].tolist()
-        return [self._joined(ws) + ids[a:b].tobytes() for ws, a, b in zip(firsts, stops, stops[1:], strict=False)]
+        out = [self._joined(ws) + ids[a:b].tobytes() for ws, a, b in zip(firsts, stops, stops[1:], strict=False)]
+        for cache, key in self.long:
+            cache.pop(key, None)
+        self.long.clear()
+        return out
 
     def _encode_chunks(self, names: list[str], firsts: list[list[str | int]]) -> list[bytes]:
         """Encodings of distinct chunks with the space before them; the words of ``firsts`` are then in the caches too."""
@@ -259,6 +265,8 @@ class CachedEncoder:
             known.update(zip(letters, map(made.__getitem__, spaced), strict=True))
             for w, (cache, key) in words.items():
                 cache[key] = made[w]
+                if len(key) > LONGEST:
+                    self.long.append((cache, key))
         ends = self.words
         for c, body in ended:
             known[c] = known[body] + ends[c[-1]]
@@ -266,6 +274,9 @@ class CachedEncoder:
             known[c] = self._joined(ws)
         for k in gaps:
             found[k] = known[names[k]]
+            if len(names[k]) > LONGEST:
+                self.long.append((known, names[k]))
+        self.long += [(known, body) for body in letters if len(body) > LONGEST]
         return found
 
     def _joined(self, words: list[str | int]) -> bytes:
@@ -318,8 +329,9 @@ class TrieEncoder(CachedEncoder):
         every node once, and settles it from its ancestors.
         """
         moves, tokens, fits, move, side_by_side = self.moves, self.tokens, self.fits, self._move, self.v.side_by_side
-        if len(fits) > 4 * self.limit:
-            fits.clear()
+        for known in (fits, moves):
+            if len(known) > 4 * self.limit:
+                known.clear()
         state, last, back = [0], [-1], [0]  # by depth: suffix state, last token of the prefix that ends there, where that token starts
         before = b""
         out = {}
@@ -384,9 +396,11 @@ def encode_decode(df, path: str, id_column: str = "doc_id", text_column: str = "
     """
     from pyspark.sql import functions as F
 
+    from .common import slices
+
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = enc.encode(batch.column(1).to_pylist())
             n = [len(x) >> 2 for x in ids]
             decoded = [enc.decode(x) for x in ids]

@@ -1,27 +1,54 @@
-"""What the operators share: reading tables, the shared folder, range buckets, ASCII words."""
+"""What the operators share: reading tables, the shared folder, joins on hot keys, range buckets, ASCII words."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once. Texts can be long, so batches are small.
+#: Rows that a worker handles at once. Spark bounds a batch in bytes; texts can be long, so their results are made in smaller steps.
 BATCH_ROWS = 512
+#: A key that holds more than one in so many of all rows is hot; there are at most so many of them, so they can be broadcast.
+HOT_SHARE = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the driver's folder, through Spark's reader (any file system)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def slices(batches) -> Iterator:
+    """The record batches in parts of at most BATCH_ROWS rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no column of that name (case does not count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests on one machine), under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary folder, but only in a local session: the executors of a
+    cluster do not share one, so there it raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,13 +61,30 @@ def _own_dir() -> str:
     return _OWN[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporaries():
+    """Deletes, at its end, every table that ``materialize`` wrote within it, but those written with ``keep``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. The files stay until ``discard`` or the
+    end of the ``temporaries`` around it (not with ``keep``)."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_path = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -53,28 +97,54 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` by ``key``, which is unique in ``table``; its column ``n`` says how many of all ``total`` rows have the key.
+
+    Keys of more than total / HOT_SHARE rows are at most HOT_SHARE, so theirs is a broadcast join at any size of the input, and the rows of a
+    hot key stay where they are. All others meet by a shuffle, whose tasks then hold no large group. ``rows`` is read twice."""
+    hot = F.col("n") > total // HOT_SHARE
+    lots, few = table.where(hot), table.where(~hot)
+    near = rows.join(F.broadcast(lots), key)
+    return near.unionByName(rows.join(F.broadcast(lots.select(key)), key, "left_anti").join(few, key))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 ascending values that split the column's rows into about equal buckets (a sketch over that column alone)."""
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 ascending bounds (value, hash) that split the rows, in the order of the column and of a 64-bit hash, into about equal
+    buckets (a sketch over that column alone). Nulls count as the least long. A value that holds several buckets' rows is split by the hash."""
     if n < 2:
         return []
-    found = df.select(column).where(F.col(column).isNotNull()).approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n)
-    return sorted({int(x) for x in found})
+    found = df.select(F.coalesce(F.col(column), F.lit(LEAST)).alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.25 / n)
+    times = Counter(min(max(int(x), LEAST), GREATEST) for x in found)
+    return sorted((v, GREATEST if j == k else LEAST + (j << 64) // k) for v, k in times.items() for j in range(1, k + 1))
 
 
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below the value (nulls: 0). Looks at 2 * sqrt(n) bounds for a row: first coarse, then fine ones."""
+def range_bucket(column: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds lie below the row's (value, hash). Looks at 2 * sqrt(n) bounds for a row: first coarse, then fine ones."""
     if not bounds:
         return F.lit(0)
+    value = F.coalesce(column, F.lit(LEAST))
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(longs([g[-1] for g in groups]), lambda b: b < column))
-    fine = F.size(F.filter(F.element_at(F.array(*[longs(g) for g in groups]), F.least(coarse + 1, F.lit(len(groups)))), lambda b: b < column))
-    return F.when(column.isNull(), F.lit(0)).when(coarse >= len(groups), F.lit(len(bounds))).otherwise(coarse * step + fine).cast("int")
+    pairs = lambda xs: F.array(*[F.struct(F.lit(v).cast("long").alias("v"), F.lit(h).cast("long").alias("h")) for v, h in xs])
+    below = lambda b: (b["v"] < value) | ((b["v"] == value) & (b["h"] < tie))
+    coarse = F.size(F.filter(pairs([g[-1] for g in groups]), below))
+    fine = F.size(F.filter(F.element_at(F.array(*[pairs(g) for g in groups]), F.least(coarse + 1, F.lit(len(groups)))), below))
+    return F.when(coarse >= len(groups), F.lit(len(bounds))).otherwise(coarse * step + fine).cast("int")
+
+
+def whole_numbers(df: DataFrame, column: str) -> Column:
+    """The ids as longs; ids of another type than a whole number raise, as their order would not be that of the column."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{column} is {kind}: ids must be whole numbers")
+    return F.col(column).cast("long")
 
 
 def crc32_of_id(column: str = "doc_id") -> Column:
@@ -99,14 +169,22 @@ def is_local(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
+def _arrow_uri(uri: str) -> str:
+    """Spark's names of object stores as pyarrow knows them."""
+    for spark, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://")):
+        if uri.startswith(spark):
+            return arrow + uri[len(spark) :]
+    return uri
+
+
 def open_output(uri: str):
-    """A binary file to write: local paths directly, other stores through pyarrow's file systems."""
+    """A binary file to write: local paths directly, other stores through pyarrow's file systems (S3, GCS, Azure; HDFS with its native library)."""
     if (path := is_local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, "wb")
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri)
+    where, path = fs.FileSystem.from_uri(_arrow_uri(uri))
     return where.open_output_stream(path)
 
 
@@ -116,5 +194,5 @@ def open_input(uri: str):
         return open(path, "rb")
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri)
+    where, path = fs.FileSystem.from_uri(_arrow_uri(uri))
     return where.open_input_file(path)

@@ -20,12 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     task) and joins that back to the edges (sort-merge with adaptive skew splitting, no broadcast is asked for). After a
     large-star step all greater neighbours of a node hang on its least one, after a small-star step the smaller ones do; the number of
     rounds is logarithmic in practice. Every step is written to the shared folder, so a lost executor costs one step. Self-loops and
-    repeated edges are harmless; no edges give no rows; rows with a null are ignored.
+    repeated edges are harmless; no edges give no rows; rows with a null are ignored. ``discard`` of the result deletes its table.
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _signature(now)
     if not seen[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        discard(now)
+        return edges.sparkSession.createDataFrame([], "node long, component long")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -41,4 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             # every edge is now node -> component; distinct() of the step left one for each node
             labels = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+            out = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+            out.materialized_path = now.materialized_path
+            return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CachedEncoder, Vocabulary
-from .common import n_partitions, open_input, open_output, range_bounds, range_bucket, read, shared_dir, text_hash
+from .common import n_partitions, open_input, open_output, range_bounds, range_bucket, read, shared_dir, slices, text_hash, whole_numbers
 
 #: Ids of a frame at most.
 FRAME_IDS = 1 << 16
@@ -159,15 +159,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, directory: str, end_id: int
     """Encode every whole text, append ``end_id`` to each and write shards in ascending order of ids (null ids first, equal
     ids by the texts' hashes). Returns the manifest: shard, path, docs, ids, bytes - one row for each shard.
 
-    One shuffle by ranges of ids; each task streams its sorted rows into one file. A task that runs again writes a
+    One shuffle by ranges of ids, where an id (or null) with many rows takes several ranges of the texts' hashes; each task streams its sorted rows into one file. A task that runs again writes a
     file of its own name, and the manifest names the files of the attempts that succeeded. Empty tables give no shard; null and
-    empty texts have the end id alone; further columns are not carried. Ids beyond the width raise.
+    empty texts have the end id alone; further columns are not carried. Token ids beyond the width and document ids that are no whole numbers raise.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    rows = df.select(whole_numbers(df, id_column).alias("id"), F.col(text_column).alias("text"))
     n = n_partitions(spark)
     bounds = range_bounds(rows, "id", n)
-    placed = rows.withColumn("bucket", range_bucket(F.col("id"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "id", text_hash("text"))
+    placed = rows.withColumn("bucket", range_bucket(F.col("id"), text_hash("text"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "id", text_hash("text"))
 
     def run(batches) -> Iterator:
         import uuid
@@ -177,9 +177,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, directory: str, end_id: int
 
         out = shard = None
         docs = total = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if out is None:
                 shard = batch.column(2)[0].as_py()
                 uri = f"{directory}/shard-{shard:08d}-{uuid.uuid4().hex}.ids.zst"

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions, read, text_hash
+from .common import HOT_SHARE, discard, fresh, join_counted, materialize, n_partitions, read, text_hash
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -149,6 +149,7 @@ def links(prints: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Data
     found = materialize(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot boolean"), "links")
     direct_edges = found.where("not hot").select("a", "b")
     if found.where("hot").isEmpty():
+        direct_edges.materialized_path = found.materialized_path
         return direct_edges
     half = radius // 2
     points = [0] + [sum(1 << i for i in c) for k in range(1, half + 1) for c in combinations(range(BITS), k)]
@@ -157,7 +158,9 @@ def links(prints: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Data
     around = F.transform(F.lit([_signed(p) for p in points]), lambda m: F.col("fp").bitwiseXOR(m))
     reach = found.where("hot").select(F.col("a").alias("fp")).distinct().select("fp", F.explode(around).alias("point"))
     least = reach.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return direct_edges.unionByName(reach.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+    edges = direct_edges.unionByName(reach.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+    edges.materialized_path = found.materialized_path
+    return edges
 
 
 
@@ -166,31 +169,47 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     root (the fingerprint that names the component; ids may repeat, roots do not).
 
     Fingerprints link at ``radius`` or fewer differing bits. Null, empty and blank texts have fingerprint zero and link
-    like any other. Repeated rows stay; null ids stay, and count for the component only if it has no other (then its id is null).
-    Further columns are not carried. Equal fingerprints meet before anything is compared, so large groups of
-    copies cost one fingerprint.
+    like any other. Repeated rows stay; null ids stay, and count for the component only if it has no other (then its id is null). Ids of any
+    type that can be ordered will do. An empty table gives no rows. Further columns are not carried. Equal fingerprints meet before anything is
+    compared, so large groups of copies cost one fingerprint, and neither copies of a text nor members of a component are
+    gathered in a task (``join_counted``). Two tables of some 30 bytes a row stay in the shared folder, as the result reads them.
     """
     rows = materialize(df.select(F.col(id_column).alias("id"), text_hash(text_column).alias("text_hash"), fingerprint(F.col(text_column)).alias("fp")), "prints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    labels = components(links(prints.select("fp"), radius))
-    roots = prints.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    firsts = materialize(roots, "roots")
-    ids = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = firsts.select("fp", "root").join(ids, "root").select("fp", "component_id", "root")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_column), "text_hash", F.col("fp").alias("fingerprint"), "component_id", "root")
+    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "distinct")
+    found = links(prints.select("fp"), radius)
+    labels = components(found)
+    roots = materialize(prints.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("root")), "roots")
+    for done in (found, labels, prints):
+        discard(done)
+    size = roots.agg(F.count("*").alias("prints"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = materialize(join_counted(roots.drop("first"), ids, "root", size["prints"]).select("fp", F.col("copies").alias("n"), "component_id", "root"), "named")
+    discard(roots)
+    return join_counted(rows, named, "fp", size["rows"]).select(F.col("id").alias(id_column), "text_hash", F.col("fp").alias("fingerprint"), "component_id", "root")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``df``, one of each component: that of the smallest (id, hash of its text). All columns are kept.
 
-    Of rows that are equal in both one is kept; a component whose ids are all null keeps one as well.
+    Of rows that are equal in both one is kept; a component whose ids are all null keeps one as well (null ids come last). Null, empty and blank
+    texts are one component; an empty table stays empty. Texts are shuffled once, by id and hash; where one
+    such pair (a null or repeated id, and equal texts) holds more than one in HOT_SHARE of all rows, its rows are combined before they are sent.
     """
-    found = near_duplicates(df, id_column, text_column, radius)
-    # the root fingerprint tells components apart that have no id, or the same smallest one
-    lowest = F.min(F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.col("text_hash").alias("h"))).alias("low")
-    keep = found.groupBy("root").agg(lowest).select(F.coalesce(F.col("low.i"), F.lit(-(1 << 63))).alias("__k"), F.col("low.h").alias("__h"))
-    keyed = df.withColumns({"__k": F.coalesce(F.col(id_column), F.lit(-(1 << 63))), "__h": text_hash(text_column)})
-    return keyed.join(keep, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).drop("__k", "__h")
+    table = near_duplicates(df, id_column, text_column, radius)
+    found = materialize(table.select(F.col(id_column).alias("i"), F.col("text_hash").alias("h"), "root"), "members")
+    lowest = F.min(F.struct(F.col("i").isNull().alias("n"), "i", "h")).alias("low")
+    k, h, ki, kh = fresh(df, "k", "h", "key_id", "key_hash")
+    keep = found.groupBy("root").agg(lowest).select(F.col("low.i").alias(ki), F.col("low.h").alias(kh))
+    keyed = df.withColumns({k: F.col(id_column), h: text_hash(text_column)})
+    same = F.col(k).eqNullSafe(F.col(ki)) & (F.col(h) == F.col(kh))
+    pairs = found.groupBy(F.col("i").alias(ki), F.col("h").alias(kh)).agg(F.count("*").alias("n"))
+    hot = materialize(pairs.where(F.col("n") > max(1, found.count() // HOT_SHARE)).select(ki, kh), "hot-pairs")  # at most HOT_SHARE rows
+    if hot.isEmpty():
+        return keyed.join(keep, same, "left_semi").dropDuplicates([k, h]).drop(k, h)
+    cold = keyed.join(F.broadcast(hot), same, "left_anti").join(keep, same, "left_semi").dropDuplicates([k, h])
+    pair = F.col(f"a.{ki}").eqNullSafe(F.col(f"b.{ki}")) & (F.col(f"a.{kh}") == F.col(f"b.{kh}"))
+    both = hot.alias("a").join(keep.alias("b"), pair, "left_semi")
+    return cold.unionByName(keyed.join(F.broadcast(both), same, "left_semi").dropDuplicates([k, h])).drop(k, h)
 
 
 def op5_simhash(spark, sf_dir):
