@@ -2,7 +2,8 @@
 
 Every document gets a count from a Poisson distribution whose mean is its source's repetition rate: the source's share of the
 mixture over its size. The distribution is inverted at a uniform number made of a hash of seed, id and text, so the result depends on
-the rows alone, not on partitions or attempts. A mean above MOST_MEAN is split into equal parts, whose counts, each with its own hash, are summed. Documents are exploded by their counts and dealt out by a second hash.
+the rows alone, not on partitions or attempts. A mean above MOST_MEAN is split into equal parts, whose counts, each with its own hash, are summed.
+Documents are exploded by their counts and dealt out by a second hash.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions, read
+from .common import fresh, materialize, n_partitions, read, text_hash
 
 #: The Poisson distribution is tabulated up to mean + WIDE * sqrt(mean) + 20; what lies beyond has a probability below 1e-15.
 WIDE = 12
 #: A larger mean is the sum of equal parts of at most this, so that a table has at most 1,985 entries.
 MOST_MEAN = 1500
+#: Copies that are made of one row in one task at most, and the greatest mean; a larger one raises.
+COPIES, GREATEST_MEAN = 10_000, 1e9
 #: Rates of more sources than these (each some hundred bytes) are not broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -48,7 +51,7 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, source_colu
     ``weights``: relative shares of the mixture in code points, sources without one get none; default: equal shares. The mixture is as
     large as the input. A source without any text gets mean 0.
     """
-    sizes = df.groupBy(F.col(source_column).alias("__source")).agg(F.sum(F.coalesce(F.length(text_column), F.lit(0)).cast("long")).alias("size"))
+    sizes = df.select(F.col(source_column).alias("__source"), F.col(text_column).alias("__text")).groupBy("__source").agg(F.sum(F.coalesce(F.length("__text"), F.lit(0)).cast("long")).alias("size"))
     if weights is None:
         weight = F.lit(1.0)
     elif weights:
@@ -67,26 +70,42 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0
     by that key and sorted by it in each partition.
 
     All columns are kept; columns of these three names are replaced. Null texts count as empty, null sources as a source; equal rows get
-    equal counts. A hot source costs nothing but its rows: sizes are summed before the shuffle, and the rates (a row for each source) meet the
-    documents in a broadcast join if they are at most BROADCAST_SOURCES, counted first, else in a sort-merge join, which Spark splits
-    where it is skewed.
+    equal counts. An empty table stays empty. A hot source costs nothing but its rows: sizes are summed before the shuffle, and the rates (a row
+    for each source) meet the documents in a broadcast join if they are at most BROADCAST_SOURCES, counted first, else in a sort-merge join, which
+    Spark splits where it is skewed. A document of more than COPIES copies is dealt out in blocks of them before they are made. A mean above
+    GREATEST_MEAN raises.
     """
-    means = materialize(rates(df, weights, source_column, text_column).select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "rates")
-    if means.count() <= BROADCAST_SOURCES:
+    df = df.drop("copy", "n_copies", "shuffle_key")
+    source, parts, table, u, block, salt = fresh(df, "mix_source", "mix_parts", "mix_cdf", "mix_u", "mix_block", "mix_salt")
+    means = materialize(rates(df, weights, source_column, text_column).select(F.col("__source").alias(source), "mean", F.col("parts").alias(parts), F.col("cdf").alias(table)), "rates")
+    known = means.agg(F.count("*").alias("n"), F.max("mean").alias("mean")).first()
+    if (top := known["mean"] or 0.0) > GREATEST_MEAN:
+        raise ValueError(f"a source would be repeated {top:.3g} times on average; more than {GREATEST_MEAN:.0e} is refused")
+    means = means.drop("mean")
+    if known["n"] <= BROADCAST_SOURCES:
         means = F.broadcast(means)
-    with_cdf = df.join(means, df[source_column].eqNullSafe(F.col("__source"))).drop("__source")
+    with_cdf = df.join(means, df[source_column].eqNullSafe(F.col(source))).drop(source)
     digest = F.md5(F.coalesce(F.col(text_column), F.lit("")))
-    below = lambda u: F.size(F.filter("__cdf", lambda c: c < u))
+    below = lambda x: F.size(F.filter(table, lambda c: c < x))
     # the parts after the first hash their number as well; the array of one digest keeps it from being made for each part
-    more = lambda t: F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda p: uniform(seed, F.col(id_column), t, p)), F.lit(0), lambda n, u: n + below(u))
-    rest = F.when(F.col("__parts") > 1, F.element_at(F.transform(F.array(digest), more), 1)).otherwise(0)
-    out = with_cdf.withColumn("__u", uniform(seed, F.col(id_column), digest)).withColumn("n_copies", below(F.col("__u")) + rest).drop("__cdf", "__parts", "__u").where("n_copies > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    more = lambda t: F.aggregate(F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda p: uniform(seed, F.col(id_column), t, p)), F.lit(0), lambda n, x: n + below(x))
+    rest = F.when(F.col(parts) > 1, F.element_at(F.transform(F.array(digest), more), 1)).otherwise(0)
+    counted = with_cdf.withColumn(u, uniform(seed, F.col(id_column), digest)).withColumn("n_copies", below(F.col(u)) + rest).drop(table, parts, u).where("n_copies > 0")
+    n_out = n_partitions(df.sparkSession)
+    every = lambda rows: rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    if top + WIDE * top**0.5 + 20 <= COPIES:
+        out = every(counted)
+    else:
+        blocks = counted.where(F.col("n_copies") > COPIES).withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / COPIES).cast("int"))))
+        dealt = blocks.repartition(n_out, F.col(block), F.col(id_column), text_hash(text_column))
+        made = F.explode(F.sequence(F.col(block) * COPIES + 1, F.least(F.col("n_copies"), (F.col(block) + 1) * COPIES)))
+        out = every(counted.where(F.col("n_copies") <= COPIES)).unionByName(dealt.withColumn("copy", made).drop(block))
     out = out.withColumn("shuffle_key", uniform(seed + 1, F.col(id_column), F.col("copy")))
     if not shuffle:
         return out
-    n_out = n_partitions(df.sparkSession)
-    return out.repartition(n_out, "shuffle_key", "copy").sortWithinPartitions("shuffle_key", "copy")
+    # null and repeated ids share their keys, so texts and the tasks that rows come from deal them out as well
+    out = out.withColumn(salt, F.xxhash64(F.spark_partition_id(), F.col(text_column)))
+    return out.repartition(n_out, "shuffle_key", "copy", salt).sortWithinPartitions("shuffle_key", "copy").drop(salt)
 
 
 def op8_poisson_mix(spark, sf_dir):
