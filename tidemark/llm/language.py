@@ -5,17 +5,18 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, read
+from .common import crc32_of_id, fresh, read
 
 #: Hashed n-grams of 1 to 3 letters; centroids of a language.
 DIM, CENTROIDS = 4096, 3
 #: Bound of the training sample: documents of a language, and of all languages together.
 PER_LANGUAGE, IN_ALL = 400, 8000
 #: A document is rejected if its cosine with the nearest centroid is below this part of the least that the centroid's own
-#: training documents have, or if it has no letter. On sf0.1 one of 10,000 documents is below 0.4 (one word), 12 are below 0.63 and 1 in 200
-#: below 0.83; random letters are at 0.23 to 0.26, random consonants at 0.19 to 0.22, unseen languages in Latin script at 0.17 to 0.71.
+#: training documents have, or if it has no letter. On sf0.1 two of 10,000 documents are below 0.4 (one word, and shouted junk), 13 below 0.63;
+#: random letters are at 0.23 to 0.26, random consonants at 0.19 to 0.22, unseen languages in Latin script at 0.17 to 0.71.
 REJECT_BELOW = 0.4
 UNKNOWN = "und"
 
@@ -124,15 +125,20 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 
 
 def train(df: DataFrame, lang_column: str = "lang", text_column: str = "text", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
-    """Fit on at most ``in_all`` labelled texts, about ``per_language`` of each language, chosen by the text's hash; texts
-    without a language or a letter are left out. What reaches the driver is bounded by ``in_all`` vectors."""
+    """Fit on at most ``in_all`` labelled texts, the same number of each language (``per_language``, or fewer where there are many languages, but at
+    least CENTROIDS; all that a smaller one has), chosen by the text's hash. Every language is learned: more of them than in_all / CENTROIDS
+    raise. Texts without a language or a letter are left out; equal texts count once. What reaches the driver is bounded by ``in_all`` vectors."""
     rows = df.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("train"), F.col(text_column)).alias("h"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all // 10).collect()}
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    n = {r["lang"]: r["n"] for r in sizes.limit(in_all // CENTROIDS + 1).collect()}
     if not n:
         return fit([])
-    each = min(per_language, in_all // len(n))
-    part = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, each / k))])
-    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(part[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    if len(n) * CENTROIDS > in_all:
+        raise ValueError(f"more than {in_all // CENTROIDS} languages: give a larger in_all")
+    each = max(CENTROIDS, min(per_language, in_all // len(n)))
+    # a part of each language that has surely enough, then exactly ``each`` of those, found before they are sent
+    part = df.sparkSession.createDataFrame([(lang, min(1.0, (1.5 * each + 40) / k)) for lang, k in n.items()], "lang string, part double")
+    chosen = rows.join(F.broadcast(part), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("part") * (1 << 30))
 
     @F.arrow_udf("binary")
     def vectors(texts):
@@ -141,8 +147,9 @@ def train(df: DataFrame, lang_column: str = "lang", text_column: str = "text", p
         found = [counts(t) for t in texts.to_pylist()]
         return pa.array([None if v is None else v.tobytes() for v in found], pa.binary())
 
-    found = chosen.withColumn("v", vectors.asNondeterministic()("text")).groupBy("lang", "h").agg(F.first("v", ignorenulls=True).alias("v")).where("v is not null").orderBy("h", "lang").limit(in_all).collect()
-    return fit([(r["lang"], bytes(r["v"])) for r in found])
+    found = chosen.withColumn("v", vectors.asNondeterministic()("text")).where("v is not null").groupBy("lang", "h").agg(F.first("v").alias("v"))
+    first = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    return fit([(r["lang"], bytes(r["v"])) for r in first.select("lang", "v").collect()])
 
 
 def predict(df: DataFrame, model: Model, text_column: str = "text"):
@@ -157,8 +164,9 @@ def predict(df: DataFrame, model: Model, text_column: str = "text"):
         found = [sent.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang", "score", "rejected"])
 
-    out = df.withColumn("__p", run.asNondeterministic()(F.col(text_column)))
-    return out.withColumns({"lang_pred": F.col("__p.lang"), "lang_score": F.col("__p.score"), "lang_rejected": F.col("__p.rejected")}).drop("__p")
+    (p,) = fresh(df, "p")
+    out = df.withColumn(p, run.asNondeterministic()(F.col(text_column)))
+    return out.withColumns({"lang_pred": F.col(f"{p}.lang"), "lang_score": F.col(f"{p}.score"), "lang_rejected": F.col(f"{p}.rejected")}).drop(p)
 
 
 def for_training(df: DataFrame) -> DataFrame:
