@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 #: Known licence sentences, by identifier, in normalised form. Texts of public licences and usual notices, as the cut yields
 #: them (a notice with ; or : inside a sentence gives several identifiers in a row), and uncut where other marks are usual as well.
@@ -142,10 +142,11 @@ def scan(df: DataFrame, text_column: str = "text") -> DataFrame:
     text = F.col(text_column)
     may = F.coalesce(F.lower(text).rlike(KEYWORDS), F.lit(False))
     none = F.array().cast("array<string>")
-    out = df.withColumns({"__l": F.when(may, _identifiers(text, True)).otherwise(none), "__w": F.when(may, _identifiers(text, False)).otherwise(none)})
+    l, w = fresh(df, "l", "w")  # noqa: E741
+    out = df.withColumns({l: F.when(may, _identifiers(text, True)).otherwise(none), w: F.when(may, _identifiers(text, False)).otherwise(none)})
     found = lambda c: F.when(F.size(c) > 0, _matched(F.col(c))["found"]).otherwise(none)
-    out = out.withColumns({"sentences": F.when(F.size("__w") > F.size("__l"), F.col("__w")).otherwise(F.col("__l")), "licences": F.array_sort(F.array_distinct(F.concat(found("__l"), found("__w"))))})
-    return out.drop("__l", "__w")
+    out = out.withColumns({"sentences": F.when(F.size(w) > F.size(l), F.col(w)).otherwise(F.col(l)), "licences": F.array_sort(F.array_distinct(F.concat(found(l), found(w))))})
+    return out.drop(l, w)
 
 
 def op6_licence_scan(spark, sf_dir):

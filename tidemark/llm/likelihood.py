@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 from .statistics import counts
 
 #: Buckets of hashed n-grams, the smoothing of a bucket, and the ratio per n-gram below which a document is dropped.
@@ -85,24 +85,25 @@ def judge(df: DataFrame, ratios, text_column: str = "text") -> DataFrame:
             llr.append(float(g @ sent.value) / max(1, int(g.sum())))
         return pa.StructArray.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in names] + [pa.array(llr, pa.float64())], names=[*names, "llr"])
 
-    out = df.withColumn("__j", run.asNondeterministic()(F.col(text_column)))
-    out = out.withColumns({n: F.col(f"__j.{n}") for n in (*names, "llr")}).drop("__j")
+    (j,) = fresh(df, "j")
+    out = df.withColumn(j, run.asNondeterministic()(F.col(text_column)))
+    out = out.withColumns({n: F.col(f"{j}.{n}") for n in (*names, "llr")}).drop(j)
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= KEEP_AT))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
-    """``__id``: the distinct ids labelled good, as longs."""
-    return labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
+    """``id``: the distinct ids labelled good, as longs."""
+    return labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, block: int = 0, blocks: int = 1) -> DataFrame:
-    """``docs`` with ``__good``: whether the document is labelled good and its id falls into this one of ``blocks`` parts by hash. The ids
+    """doc_id, text and ``good`` of ``docs``: whether the document is labelled good and its id falls into this one of ``blocks`` parts by hash. The ids
     of the part are broadcast as a sorted array, so no text is shuffled."""
     import numpy as np
 
-    part = good_ids(labels).where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == block)
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(part.toArrow()["__id"].to_numpy()))
+    part = good_ids(labels).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(part.toArrow()["id"].to_numpy()))
 
     @F.arrow_udf("boolean")
     def known(ids):
@@ -114,16 +115,16 @@ def with_trusted(docs: DataFrame, labels: DataFrame, block: int = 0, blocks: int
         found = all_ids[np.minimum(np.searchsorted(all_ids, at), len(all_ids) - 1)] == at
         return pa.array(found & ids.is_valid().to_numpy(zero_copy_only=False))
 
-    return docs.withColumn("__good", known(F.col("doc_id").cast("long")))
+    return docs.select("doc_id", "text", known(F.col("doc_id").cast("long")).alias("good"))
 
 
 def trusted_and_raw(docs: DataFrame, labels: DataFrame, most: int = BLOCK):
     """Counts over all documents labelled good, and over all documents: one scan for each ``most`` good ids, of which only the first
     counts the other documents."""
     blocks = max(1, -(-good_ids(labels).count() // most))
-    trusted, raw = totals(with_trusted(docs, labels, 0, blocks), "__good")
+    trusted, raw = totals(with_trusted(docs, labels, 0, blocks), "good")
     for block in range(1, blocks):
-        trusted += totals(with_trusted(docs, labels, block, blocks).where("__good"), "__good")[0]
+        trusted += totals(with_trusted(docs, labels, block, blocks).where("good"), "good")[0]
     return trusted, raw
 
 

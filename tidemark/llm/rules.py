@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, read
+from .common import crc32_of_id, fresh, read
 from .statistics import NAMES, vector
 
 #: Bound of the training sample (labelled documents), trees, their depth, the L1 penalty, its steps, and the fewest documents of a node.
@@ -19,8 +19,8 @@ SAMPLE, TREES, DEPTH, PENALTY, STEPS, LEAF = 20_000, 12, 3, 1e-3, 400, 3
 ACCEPT_AT = 0.3
 
 
-def _grow(x, residual, hessian, bins, rows, depth, path, paths, out):
-    """Split greedily by the gain of a Newton step; note the path of each node; add the leaves' steps to ``out``."""
+def _grow(x, residual, hessian, cuts, bins, rows, depth, path, paths, out):
+    """Split greedily, at the ``cuts`` of a statistic, by the gain of a Newton step; note the path of each node; add the leaves' steps to ``out``."""
     import numpy as np
 
     if path:
@@ -40,9 +40,9 @@ def _grow(x, residual, hessian, bins, rows, depth, path, paths, out):
         out[rows] += 0.5 * g / h
         return
     _, f, k = best
-    cut, left = _grow.cuts[f][k], bins[rows, f] <= k
+    cut, left = cuts[f][k], bins[rows, f] <= k
     for part, side in ((rows[left], "<="), (rows[~left], ">")):
-        _grow(x, residual, hessian, bins, part, depth - 1, [*path, (f, side, cut)], paths, out)
+        _grow(x, residual, hessian, cuts, bins, part, depth - 1, [*path, (f, side, cut)], paths, out)
 
 
 def fires(rule, x):
@@ -64,15 +64,17 @@ def fit(x, y) -> tuple[list[tuple], list[float], float]:
     prior = float(np.log(share / (1 - share)))
     if len(set(y.tolist())) < 2:
         return [], [], prior
-    _grow.cuts = [np.append(np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])), np.inf) for f in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(_grow.cuts[f], x[:, f], side="left") for f in range(x.shape[1])], axis=1)
+    cuts = [np.append(np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])), np.inf) for f in range(x.shape[1])]
+    bins = np.stack([np.searchsorted(cuts[f], x[:, f], side="left") for f in range(x.shape[1])], axis=1)
     at, paths = np.full(len(y), prior), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-at))
         step = np.zeros(len(y))
-        _grow(x, y - p, p * (1 - p), bins, np.arange(len(y)), DEPTH, [], paths, step)
+        _grow(x, y - p, p * (1 - p), cuts, bins, np.arange(len(y)), DEPTH, [], paths, step)
         at += step
     rules = list(dict.fromkeys(paths))
+    if not rules:  # too few documents for a split
+        return [], [], prior
     z = np.stack([fires(r, x) for r in rules], axis=1).astype(np.float64)
     mean = z.mean(axis=0)
     keep = (mean > 0) & (mean < 1)
@@ -121,18 +123,20 @@ def statistics_of(column: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text"):
     """Fit on at most ``sample`` labelled ids, chosen by the id's hash. Labels that are null and ids without a text row are left out;
     a repeated id counts once, with its least label and text."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.min(label).alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("labelled")).agg(F.min(label).alias("y")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     # at most ``sample`` rows of 12 bytes: small enough to broadcast at any size of the input
-    found = docs.join(F.broadcast(chosen), docs[id_column] == F.col("__id")).select("__id", "__y", statistics_of(F.col(text_column)).alias("s"))
-    rows = found.groupBy("__id").agg(F.min("__y").alias("y"), F.min("s").alias("s")).collect()
-    rows.sort(key=lambda r: r["__id"])
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("id", "y", statistics_of(F.col("text")).alias("s"))
+    rows = found.groupBy("id").agg(F.min("y").alias("y"), F.min("s").alias("s")).collect()
+    rows.sort(key=lambda r: r["id"])
     return fit([list(r["s"]) for r in rows], [r["y"] for r in rows])
 
 
 def score(df: DataFrame, model, text_column: str = "text") -> DataFrame:
     """``df`` with ``quality_score`` (0 to 1); only the text is looked at, null as the empty text. A column of this name in the input is
     replaced. No shuffle."""
-    return df.withColumn("__s", statistics_of(F.col(text_column))).withColumn("quality_score", score_column(model, F.col("__s"))).drop("__s")
+    (s,) = fresh(df, "s")
+    return df.withColumn(s, statistics_of(F.col(text_column))).withColumn("quality_score", score_column(model, F.col(s))).drop(s)
 
 
 def trained(spark, sf_dir: str):
