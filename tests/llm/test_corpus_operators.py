@@ -234,3 +234,118 @@ def test_text_in_no_known_language_is_rejected(spark):
     polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
     assert model.predict(letters)[2] and model.predict(polish)[2]
     assert language.predict(docs, model).where("lang_rejected").count() <= 5  # of 10,000; the texts without a letter would count as well
+
+
+def test_rows_of_hot_keys_are_joined_where_they_are(spark):
+    from tidemark.llm.common import HOT_SHARE, join_counted
+
+    rows = spark.range(50_000).select((F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    assert table.where(F.col("n") > 50_000 // HOT_SHARE).count() == 1
+    out = join_counted(rows, table, "k", 50_000)
+    assert out.count() == 50_000 and out.where("k = -1 and low <> 0 or k <> -1 and low <> k").isEmpty()
+    assert join_counted(rows.limit(0), table.limit(0), "k", 0).collect() == []
+
+
+def test_many_equal_rows_and_ids_of_any_type(spark):
+    """A third of the rows is one text without an id; a column clashes; ids are strings; an id is the least long."""
+    one, two = " ".join(f"w{i}" for i in range(400)), "other words than those " * 50
+    rows = [(None, one, 1)] * 30_000 + [(str(i), f"{i} " + two, 2) for i in range(3)] + [("z", one, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, k int")
+    assert sorted((r["doc_id"], r["k"]) for r in simhash.deduplicate(df).collect()) == [("0", 2), ("z", 3)]
+    low = spark.createDataFrame([(-(1 << 63), "a b c d e f"), (None, "zz y x w v u"), (None, "zz y x w v u")], "doc_id long, text string")
+    assert sorted(map(str, (r["doc_id"] for r in simhash.deduplicate(low).collect()))) == [str(-(1 << 63)), "None"]
+
+
+def test_many_copies_are_dealt_out_in_blocks(spark, monkeypatch):
+    rows = [(1, "a", "few", 9), (None, "a", "few", 8), (2, "b" * 9_999, "many", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __u int")
+    want = sorted(map(repr, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "COPIES", 100)
+    assert sorted(map(repr, mixing.mix(df).collect())) == want and any(r["__u"] == 9 for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "GREATEST_MEAN", 100)
+    with pytest.raises(ValueError, match="refused"):
+        mixing.mix(df)
+    same = spark.createDataFrame([(None, "ab", "s")] * 4000, "doc_id long, text string, source string").repartition(8)
+    sizes = mixing.mix(same.unionByName(spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("cd").alias("text"), F.lit("t").alias("source")))).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2 * sum(r["count"] for r in sizes) / 4
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, chr(0x4E00 + i % 2000) * 5 + chr(0x4E00 + i % 2000 + 1), f"l{i % 2000}") for i in range(6000)] + [(10_000 + i, f"q{i}", "l0") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(set(model.languages)) == 2000
+    with pytest.raises(ValueError, match="languages"):
+        language.train(docs, in_all=3000)
+
+
+def test_language_model_equals_brute_force():
+    """Counts, TF-IDF, cosines and the cut, by their formulas."""
+    rnd = random.Random(5)
+    words = {"xx": "kalo miru senta pola vireni".split(), "yy": "thzgrt brkk shtrum wnflk grrzt".split()}
+    texts = [(x, " ".join(rnd.choice(words[x]) for _ in range(30))) for x in ("xx", "yy") * 30]
+
+    def brute(t):
+        s = re.sub(r"[^a-z]+", " ", " " + t.lower() + " ")
+        out = np.zeros(language.DIM)
+        m = 1 << 32
+        for n in (1, 2, 3):
+            for i in range(n - 1 if n > 1 else 1, len(s) if n > 1 else len(s)):
+                c = [ord(x) for x in s[i - n + 1 : i + 1]]
+                h = c[0] * 2654435761 % m
+                if n > 1:
+                    h = (h ^ c[1] * 2246822519 % m) * 3266489917 % m
+                if n > 2:
+                    h = (h ^ c[2] * 668265263 % m) * 374761393 % m
+                out[h >> 20] += 1
+        out[ord(" ") * 2654435761 % m >> 20] += 1
+        return out
+
+    for _, t in texts:
+        assert (language.counts(t) == brute(t)).all()
+    model = language.fit([(x, language.counts(t).tobytes()) for x, t in texts])
+    n = np.array([brute(t) for _, t in texts])
+    idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 1
+    assert np.allclose(model.idf, idf) and np.allclose(np.linalg.norm(model.centroids, axis=1), 1)
+    for _, t in [*texts, ("", "mirka thz pola"), ("", "zzz")]:
+        v = np.log1p(brute(t)) * idf
+        cos = model.centroids @ v / np.linalg.norm(v)
+        lang, score, rejected = model.predict(t)
+        assert lang == model.languages[int(cos.argmax())] and score == pytest.approx(cos.max(), abs=1e-5) and rejected == (cos.max() < language.REJECT_BELOW * model.least[int(cos.argmax())])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeats, ties, rejected rows, a clashing column; and an empty table."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(6)
+    good = lambda: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + "." * (rnd.random() < 0.1) for _ in range(60))
+    rows = [(i, good(), "xx", "s" if i % 3 else "t", 5) for i in range(60)] + [(100 + i, " ".join(["%%% zq&|x"] * 40 + [str(i)]), "xx", "s", 5) for i in range(20)]
+    odd = [(None, None, None, None, None), (None, good(), None, None, None), (7, "", "xx", "s", 1), (200, "русский текст совсем другой", None, "s", 1), (201, "12 34", None, "s", 1), rows[3], rows[3], (3, rows[3][1], "xx", "t", 5), (300, " ".join(good() for _ in range(300)), None, "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, s int"
+    for name, data in (("full", rows + odd), ("empty", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    full = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    first = p.language_id(spark, full, f"{tmp_path}/full")
+    left = {(r["doc_id"], r["text"]) for r in full.collect()} - {(r["doc_id"], r["text"]) for r in first.collect()}
+    assert left == {(None, None), (7, ""), (200, odd[3][1]), (201, "12 34")} and first.columns == full.columns
+    second = p.quality(spark, first, f"{tmp_path}/full")
+    assert all("%%%" not in r["text"] for r in second.collect()) and second.where("doc_id = 3").count() == 4
+    third = p.near_dedup(spark, second, f"{tmp_path}/full")
+    assert third.where("doc_id = 3").count() == 1 and third.where("doc_id is null").count() == 1
+    done = p.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in done} <= {r["doc_id"] for r in third.collect()} and len(done) > 20
+    assert p.encode(spark, third.where("doc_id = 300"), "").first()["n_tokens"] > 10_000
+    assert p.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_tables_of_a_scope_are_deleted(spark, tmp_path):
+    from tidemark.llm.common import materialize, temporaries
+
+    with temporaries():
+        a, b = materialize(spark.range(3), "a"), materialize(spark.range(4), "b", keep=True)
+        assert a.count() == 3
+    where = [x.materialized_path.removeprefix("file://") for x in (a, b)]
+    assert not os.path.exists(where[0]) and os.path.exists(where[1]) and b.count() == 4
