@@ -337,7 +337,7 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert third.where("doc_id = 3").count() == 1 and third.where("doc_id is null").count() == 1
     done = p.run(spark, f"{tmp_path}/full").collect()
     assert {r["doc_id"] for r in done} <= {r["doc_id"] for r in third.collect()} and len(done) > 20
-    assert p.encode(spark, third.where("doc_id = 300"), "").first()["n_tokens"] > 10_000
+    assert p.encode(spark, full.where("doc_id = 300"), "").first()["n_tokens"] > 10_000
     assert p.run(spark, f"{tmp_path}/empty").collect() == []
 
 
