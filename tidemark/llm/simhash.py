@@ -197,19 +197,20 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     table = near_duplicates(df, id_column, text_column, radius)
     found = materialize(table.select(F.col(id_column).alias("i"), F.col("text_hash").alias("h"), "root"), "members")
+    kind = df.schema[id_column].dataType.simpleString()
+    plain = lambda c: F.coalesce(c, F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.coalesce(c.cast("string"), F.lit(""))
+    # join and dropDuplicates deal rows by the same three plain columns: null or not, id, hash
+    pair = fresh(df, "no_id", "plain_id", "text_hash")
+    key_of = lambda i, h: {pair[0]: i.isNull(), pair[1]: plain(i), pair[2]: h}
     lowest = F.min(F.struct(F.col("i").isNull().alias("n"), "i", "h")).alias("low")
-    k, h, ki, kh = fresh(df, "k", "h", "key_id", "key_hash")
-    keep = found.groupBy("root").agg(lowest).select(F.col("low.i").alias(ki), F.col("low.h").alias(kh))
-    keyed = df.withColumns({k: F.col(id_column), h: text_hash(text_column)})
-    same = F.col(k).eqNullSafe(F.col(ki)) & (F.col(h) == F.col(kh))
-    pairs = found.groupBy(F.col("i").alias(ki), F.col("h").alias(kh)).agg(F.count("*").alias("n"))
-    hot = materialize(pairs.where(F.col("n") > max(1, found.count() // HOT_SHARE)).select(ki, kh), "hot-pairs")  # at most HOT_SHARE rows
+    keep = found.groupBy("root").agg(lowest).select(*[c.alias(n) for n, c in key_of(F.col("low.i"), F.col("low.h")).items()])
+    keyed = df.withColumns(key_of(F.col(id_column), text_hash(text_column)))
+    pairs = found.select(*[c.alias(n) for n, c in key_of(F.col("i"), F.col("h")).items()]).groupBy(*pair).agg(F.count("*").alias("n"))
+    hot = materialize(pairs.where(F.col("n") > max(1, found.count() // HOT_SHARE)).select(*pair), "hot-pairs")  # at most HOT_SHARE rows
     if hot.isEmpty():
-        return keyed.join(keep, same, "left_semi").dropDuplicates([k, h]).drop(k, h)
-    cold = keyed.join(F.broadcast(hot), same, "left_anti").join(keep, same, "left_semi").dropDuplicates([k, h])
-    pair = F.col(f"a.{ki}").eqNullSafe(F.col(f"b.{ki}")) & (F.col(f"a.{kh}") == F.col(f"b.{kh}"))
-    both = hot.alias("a").join(keep.alias("b"), pair, "left_semi")
-    return cold.unionByName(keyed.join(F.broadcast(both), same, "left_semi").dropDuplicates([k, h])).drop(k, h)
+        return keyed.join(keep, pair, "left_semi").dropDuplicates(pair).drop(*pair)
+    cold = keyed.join(F.broadcast(hot), pair, "left_anti").join(keep, pair, "left_semi").dropDuplicates(pair)
+    return cold.unionByName(keyed.join(F.broadcast(hot.join(keep, pair, "left_semi")), pair, "left_semi").dropDuplicates(pair)).drop(*pair)
 
 
 def op5_simhash(spark, sf_dir):
