@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.plans import musicxml, performance
 from tidemark.sources import audio, landing
 from tidemark.streaming.islands import streaming_sessions
@@ -45,7 +46,7 @@ def test_wav_round_trip(spark, tmp_path):
 def test_landing(spark, tmp_path):
     (tmp_path / "w.txt").write_text("The\nthe\n\nCat\n")
     assert sorted(r["word"] for r in landing.word_list(spark, str(tmp_path / "w.txt")).collect()) == ["cat", "the"]
-    assert spark.range(1).select(landing.music_char(F.lit("")).alias("c")).first()["c"] == "&"
+    assert spark.range(1).select(text.music_char(F.lit("")).alias("c")).first()["c"] == "&"
 
 
 def test_streaming_sessions(spark, tmp_path):

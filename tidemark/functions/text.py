@@ -1,4 +1,4 @@
-"""Text expressions: cleaning, ordered tokens, glued words, escapes; and folds over words in plain Python."""
+"""Text expressions: cleaning, ordered tokens, glued words, escapes; and the segmentation of words."""
 
 from __future__ import annotations
 
@@ -39,6 +39,12 @@ def file_title(title: Column, stem: Column) -> Column:
     return F.when(kept != "", kept).otherwise(stem)
 
 
+def track_label(name: Column) -> Column:
+    """A part's name as the label of its track: only letters, digits and underscores; the name itself if none is left; Tutti for null."""
+    kept = F.regexp_replace(name, "(?U)[^\\w]", "")
+    return F.when(name.isNull(), "Tutti").when(kept != "", kept).otherwise(name)
+
+
 def verse_of_pass(lyrics: Column, number: Column) -> Column:
     """Of a map verse -> text: the verse of the pass; a later pass without one takes the last verse there is; else the first."""
     exact = F.try_element_at(lyrics, number)
@@ -47,10 +53,19 @@ def verse_of_pass(lyrics: Column, number: Column) -> Column:
 
 
 def abbreviates(short: Column, full: Column) -> Column:
-    """Whether ``T.`` stands for ``Tenor``: the same number of parts between slashes, each without its dot the start of the other's."""
-    a, b = F.split(F.lower(short), "/"), F.split(F.lower(full), "/")
-    pairs = F.zip_with(a, b, lambda x, y: F.coalesce(F.startswith(F.trim(y), F.rtrim(F.trim(x), F.lit(". "))), F.lit(False)))
-    return (F.size(a) == F.size(b)) & F.forall(pairs, lambda ok: ok)
+    """Whether ``T.`` stands for ``Tenor``, ``S.1`` for ``Soprano 1``: the same number of parts between slashes; of each the letters start those of
+    the other, whatever their case, and the digits are equal. A part without letters stands for nothing."""
+    letters = "A-Za-zÄÖÜäöü"
+
+    def cut(parts: Column, pattern: str) -> Column:
+        take = lambda p, k: F.regexp_extract(F.rtrim(F.trim(p), F.lit(".")) if k < 3 else F.trim(p), pattern, k if k < 3 else k - 2)
+        plus = 0 if pattern.startswith("^([" + letters + "]+)") else 2
+        return F.transform(parts, lambda p: F.struct(F.lower(take(p, 1 + plus)).alias("letters"), take(p, 2 + plus).alias("digits")))
+
+    a = cut(F.split(short, "/"), f"^([{letters}]+)[.]?([0-9]*)$")
+    b = cut(F.split(full, "/"), f"^([-{letters}]+)\\s*([0-9]*)$")
+    fits = F.zip_with(a, b, lambda x, y: F.coalesce((x["letters"] != "") & F.startswith(y["letters"], x["letters"]) & (x["digits"] == y["digits"]), F.lit(False)))
+    return (F.size(a) == F.size(b)) & F.forall(fits, lambda ok: ok)
 
 
 def segment(parts: Sequence[str], is_word: Callable[[str], bool], longest: int | None = None) -> list[int]:
@@ -82,23 +97,6 @@ def segment_column(parts: Column, words: frozenset[str]) -> Column:
     return run(parts)
 
 
-def split_syllables(phones: Sequence[str], n: int, vowels: frozenset[str]) -> list[tuple[list[str], str, list[str]]]:
-    """Deals a word's phones to n syllables (onset, nucleus, coda). Between two nuclei the last consonant opens the next syllable; too few
-    nuclei repeat the last, too many merge into the last syllable's coda. Without a vowel the middle phone is the nucleus."""
-    at = [i for i, p in enumerate(phones) if p in vowels] or ([len(phones) // 2] if phones else [])
-    if not at or n < 1:
-        return []
-    at, cuts = at[:n], [0]
-    for a, b in zip(at, at[1:], strict=False):
-        cuts.append(b - 1 if b - a > 1 else b)
-    cuts.append(len(phones))
-    out = [(list(phones[lo:k]), phones[k], list(phones[k + 1 : hi])) for lo, hi, k in zip(cuts, cuts[1:], at, strict=False)]
-    while len(out) < n:
-        onset, nucleus, coda = out.pop()
-        out += [(onset, nucleus, []), ([], nucleus, coda)]
-    return out
-
-
 def music_char(ch: Column) -> Column:
     """Private-use characters U+F020 to U+F0FF stand for Mac Roman bytes; others stay."""
     codes = range(0x20, 0x100)

@@ -22,17 +22,35 @@ def distinct_first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias("first_seen"))
 
 
-def upper_median(df: DataFrame, keys: Cols, value: str) -> DataFrame:
-    """The element at position n // 2 of the sorted values. Exact, by ranks: no array of a key's values is built."""
+def _ranks(df: DataFrame, keys: Cols, value: str) -> DataFrame:
+    """Distinct values of each key with ``__upto``, how many rows are not greater, and ``__all``. Rows are counted by key and value before they move, so
+    a hot key costs its distinct values; nulls are left out."""
     from pyspark.sql import Window as W
 
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(value))).withColumn("__all", F.count("*").over(W.partitionBy(*keys)))
-    return ranked.where(F.col("__n") == F.floor(F.col("__all") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    summed = counted.withColumn("__upto", F.sum("__c").over(upto))
+    return summed.withColumn("__all", F.sum("__c").over(W.partitionBy(*keys)))
+
+
+def upper_median(df: DataFrame, keys: Cols, value: str) -> DataFrame:
+    """The element at position n // 2 of the sorted values, exactly. Keys without a value have no row."""
+    at = F.floor(F.col("__all") / 2)
+    return _ranks(df, keys, value).groupBy(*keys).agg(F.min(F.when(F.col("__upto") > at, F.col(value))).alias("upper_median"))
 
 
 def percentile_report(df: DataFrame, keys: Cols, value: str) -> DataFrame:
-    """Median and 90th percentile with linear interpolation (exact)."""
-    return df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"))
+    """Median and 90th percentile with linear interpolation between ranks, exactly. Keys without a value have no row."""
+    ranked = _ranks(df, keys, value)
+    ends = {}
+    for name, p in (("median", 0.5), ("p90", 0.9)):
+        at = F.lit(p) * (F.col("__all") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends[f"{name}_{side}"] = F.min(F.when(F.col("__upto") > rank, F.col(value))).cast("double")
+        ends[f"{name}_t"] = F.max(at - F.floor(at))
+    found = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in ends.items()])
+    between = lambda n: (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_t")).alias(n)
+    return found.select(*keys, between("median"), between("p90"))
 
 
 def active_rms(df: DataFrame, keys: Cols, value: str, threshold: float) -> DataFrame:
@@ -56,11 +74,17 @@ def extremes(df: DataFrame, keys: Cols, value: str, default: float) -> DataFrame
     return df.groupBy(*keys).agg(F.coalesce(F.min(value), F.lit(default)).alias("lowest"), F.coalesce(F.max(value), F.lit(default)).alias("highest"))
 
 
-def weighted_blend(df: DataFrame, keys: Cols, vector: str, weight: Column) -> DataFrame:
-    """Weighted mean of vectors by position: keys, pos, blend. A vector that is null is skipped, but its weight counts in the normaliser."""
-    total = df.groupBy(*keys).agg(F.sum(weight).alias("__w"))
-    parts = df.withColumn("__x", weight).select(*keys, "__x", F.posexplode(vector).alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum(F.col("__x") * F.col("v")).alias("__s"))
-    return parts.join(total, list(keys)).select(*keys, "pos", (F.col("__s") / F.col("__w")).alias("blend"))
+def weighted_blend(df: DataFrame, keys: Cols, vector: str, weight: Column, fallback: Column | None = None) -> DataFrame:
+    """Weighted mean of vectors by position: keys, pos, blend. A vector that is null is skipped, but its weight counts in the normaliser. Keys whose
+    vectors are all null, or whose weights sum to 0, get the ``fallback`` vector (an expression over the keys); without one they have no row."""
+    weighed = df.withColumn("__x", weight)
+    total = weighed.groupBy(*keys).agg(F.sum("__x").alias("__w"), F.count(vector).alias("__n"))
+    parts = weighed.select(*keys, "__x", F.posexplode(vector).alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum(F.col("__x") * F.col("v")).alias("__s"))
+    known = (F.col("__w") != 0) & (F.col("__n") > 0)
+    blend = parts.join(total.where(known), list(keys)).select(*keys, "pos", (F.col("__s") / F.col("__w")).alias("blend"))
+    if fallback is None:
+        return blend
+    return blend.unionByName(total.where(~F.coalesce(known, F.lit(False))).select(*keys, F.posexplode(fallback).alias("pos", "blend")))
 
 
 def overlap_add(df: DataFrame, start: Column, value: Column, taps: Sequence[int]) -> DataFrame:

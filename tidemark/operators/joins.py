@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,12 +45,26 @@ def nearest(left: DataFrame, right: DataFrame, keys: Cols, at: str, left_id: str
     return best.select("__l.*", F.col("__n.d").alias("distance"), *[F.col(f"__n.r.{c}").alias(c) for c in take])
 
 
-def k_nearest(left: DataFrame, right: DataFrame, keys: Cols, left_id: str, distance: Column, right_order: str, k: Column | int) -> DataFrame:
-    """The k right rows of the same keys with the least distance (an expression over both sides), rank from 1. For small groups of keys,
-    as symbols of a staff."""
-    pairs = left.join(right, list(keys)).withColumn("distance", distance)
-    w = W.partitionBy(*keys, left_id).orderBy("distance", right_order)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def k_nearest(left: DataFrame, right: DataFrame, keys: Cols, at: str, right_at: str, right_order: str, k: int) -> DataFrame:
+    """Each left row with the k right rows of the same keys nearest along the axis (``at`` and ``right_at``): distance and rank from 1, of equal
+    distances the smallest ``right_order`` first. Right rows are numbered along the axis, once with equal places in descending and once in
+    ascending order, so the k nearest are among the last k at or before a left row's place and the first k after it: two
+    numbers to join by, never all pairs of a key. Null places and keys meet nothing; left rows without a partner have no row; repeated left rows stay."""
+    w = W.partitionBy(*keys)
+    present = right.where(F.col(right_at).isNotNull() & F.col(right_order).isNotNull())
+    back = F.row_number().over(w.orderBy(F.col(right_at), F.col(right_order).desc())).alias("__n")
+    ahead = F.row_number().over(w.orderBy(F.col(right_at), F.col(right_order))).alias("__n")
+    places = present.groupBy(*keys, F.col(right_at).alias("__at")).agg(F.count("*").alias("__c"))
+    mine = left.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at"), F.struct(*left.columns).alias("__l"), F.monotonically_increasing_id().alias("__id"))
+    upto = w.orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    counted = mine.unionByName(places, allowMissingColumns=True).withColumn("__p", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
+    found = counted.where("__l is not null").drop("__c")
+    side = lambda name, lo: F.transform(F.sequence(lo, lo + (k - 1)), lambda n: F.struct(F.lit(name).alias("__s"), n.alias("__n")))
+    wanted = found.withColumn("__w", F.explode(F.concat(side(0, F.col("__p") - (k - 1)), side(1, F.col("__p") + 1)))).select(*keys, "__id", "__l", "__w.__s", "__w.__n")
+    numbered = present.select("*", F.lit(0).alias("__s"), back).unionByName(present.select("*", F.lit(1).alias("__s"), ahead))
+    pairs = wanted.join(numbered, [*keys, "__s", "__n"]).withColumn("distance", F.abs(F.col(f"__l.{at}") - F.col(right_at)))
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("__id").orderBy("distance", right_order))).where(F.col("rank") <= k)
+    return ranked.select("__l.*", *[c for c in right.columns if c not in keys], "distance", "rank")
 
 
 def _buckets(lo: Column, hi: Column, width: float) -> Column:
@@ -59,31 +74,39 @@ def _buckets(lo: Column, hi: Column, width: float) -> Column:
 def interval_overlap(left: DataFrame, right: DataFrame, keys: Cols, width: float, tolerance: float = 0.0, how: str = "inner") -> DataFrame:
     """Rows whose intervals [l_start, l_end) and [r_start, r_end) overlap by more than ``tolerance``, within the same keys.
 
-    Both sides are cut into buckets of ``width`` along the axis and meet by equality of key and bucket; a pair is looked at in the bucket where the
-    later of the two starts lies. ``how``: inner, left_semi or left_anti."""
+    ``inner``: both sides are cut into buckets of ``width`` along the axis and meet by equality of key and bucket; a pair is looked at in the bucket where
+    the later of the two starts lies. ``left_semi`` and ``left_anti``: a row is overlapped if the greatest end of the right rows that start before
+    its end lies after its start, a running maximum over one sort of both sides. Repeated left rows stay; rows with a null key, start or end overlap
+    nothing, so the anti join keeps them."""
+    if how != "inner":
+        on = [F.col(k).isNotNull() for k in keys]
+        mine = left.select(*keys, (F.col("l_end") - tolerance).alias("__at"), F.lit(0).alias("__side"), F.struct(*left.columns).alias("__l"))
+        other = right.select(*keys, F.col("r_start").alias("__at"), F.lit(1).alias("__side"), (F.col("r_end") - tolerance).alias("__end")).where("__at is not null")
+        upto = W.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, 0)
+        swept = mine.unionByName(other, allowMissingColumns=True).withColumn("__most", F.max("__end").over(upto)).where("__l is not null")
+        hit = reduce(lambda x, y: x & y, [F.col("__at").isNotNull(), F.coalesce(F.col("__l.l_start") < F.col("__most"), F.lit(False)), *on])
+        return swept.where(hit if how == "left_semi" else ~hit).select("__l.*")
     l = left.withColumn("__b", _buckets(F.col("l_start"), F.col("l_end"), width))  # noqa: E741
     r = right.withColumn("__b", _buckets(F.col("r_start"), F.col("r_end"), width))
     hit = (F.col("l_start") < F.col("r_end") - tolerance) & (F.col("r_start") < F.col("l_end") - tolerance)
-    same = [l[k] == r[k] for k in keys] + [l["__b"] == r["__b"], hit]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    if how == "inner":
-        first = F.floor(F.greatest("l_start", "r_start") / width) == l["__b"]
-        return l.join(r, cond & first).drop(r["__b"], *[r[k] for k in keys]).drop("__b")
-    hits = l.select(*[l[c] for c in left.columns], l["__b"]).join(r, cond, "left_semi").select(*left.columns).distinct()
-    if how == "left_semi":
-        return hits
-    return left.join(hits.withColumn("__hit", F.lit(True)), list(left.columns), "left_anti")
+    first = F.floor(F.greatest("l_start", "r_start") / width) == l["__b"]
+    cond = reduce(lambda x, y: x & y, [*(l[k] == r[k] for k in keys), l["__b"] == r["__b"], hit, first])
+    return l.join(r, cond).drop(r["__b"], *[r[k] for k in keys]).drop("__b")
 
 
 def interval_lookup(points: DataFrame, spans: DataFrame, keys: Cols, at: str, start: str, end: str, order: Cols, take: Cols, else_last: bool = False) -> DataFrame:
     """The span [start, end) that holds each point, spans not overlapping within keys: as-of on the start, then a check of the end. ``else_last``: a
-    point in no span gets the last span that starts before it."""
-    spans = spans.withColumnRenamed(start, at) if start != at else spans
-    found = asof(points, spans, keys, at, order, [*take, end])
-    ok = F.lit(True) if else_last else F.col(at) < F.col(end)
-    return found.select(*points.columns, *[F.when(ok, F.col(c)).alias(c) for c in take])
+    point in no span gets the last span of its keys (that of the greatest start, then ``order``), wherever the point lies. Else a point in no span has
+    nulls; so has one of keys without spans, or with a null place."""
+    renamed = spans.withColumnRenamed(start, at) if start != at else spans
+    found = asof(points, renamed, keys, at, order, [*take, end])
+    ok = F.col(at) < F.col(end)
+    inside = found.select(*points.columns, ok.alias("__ok"), *[F.when(ok, F.col(c)).alias(c) for c in take])
+    if not else_last:
+        return inside.drop("__ok")
+    last = spans.groupBy(*keys).agg(F.max_by(F.struct(*take), F.struct(start, *order)).alias("__last"))
+    both = inside.join(last, list(keys), "left")
+    return both.select(*points.columns, *[F.when(F.coalesce("__ok", F.lit(False)), F.col(c)).otherwise(F.col(f"__last.{c}")).alias(c) for c in take])
 
 
 def greedy_claim(left: DataFrame, right: DataFrame, keys: Cols, left_order: str, right_order: str, accepts):

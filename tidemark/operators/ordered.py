@@ -41,21 +41,61 @@ def merge_ties(df: DataFrame, keys: Cols, order: Cols, tie: str, same: Cols, sta
     return runs.groupBy(*keys, "island").agg(*[F.first(c).alias(c) for c in same], F.min(start).alias(start), F.sum(dur).alias(dur), F.max_by(tie, last).alias(tie)).drop("island")
 
 
+def fold(df: DataFrame, keys: Cols, order: Cols, columns: Cols, schema: str, make) -> DataFrame:
+    """Rows of each key, in their order, through a fold: ``make()`` gives a fresh step for each key, and step(row) a list of output rows, where a
+    row is the tuple of ``columns`` and None marks the end of the key. For what depends on all rows before and no window can say. Rows are
+    sorted by key and streamed in batches, so a task holds a batch and a state, however many rows a key has. Output: keys, then ``schema``."""
+    n, kinds = len(keys), [df.schema[k].dataType.simpleString() for k in keys]
+    rows = df.select(*keys, *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    whole = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), schema])
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind, now, step = None, None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(n + len(columns))), strict=True):
+                if step is None or row[:n] != now:
+                    if step is not None:
+                        out += [(*now, *r) for r in step(None)]
+                    now, step = row[:n], make()
+                out += [(*now, *r) for r in step(row[n:])]
+            kind = kind or to_arrow_schema(target)
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], schema=kind)
+        if step is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, (*now, *r), strict=True)) for r in step(None)], schema=kind)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = StructType.fromDDL(whole)
+    return dealt.sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))]).mapInArrow(run, whole)
+
+
 def anchored_clusters(df: DataFrame, keys: Cols, order: Cols, x: str, width: float, name: str = "cluster") -> DataFrame:
-    """Clusters whose rows lie within ``width`` of their first row. The anchor depends on all rows before, so this folds over each key's
-    ordered positions (one array of a key's rows)."""
-    rows = df.withColumn("__o", F.struct(*dict.fromkeys([*order, x])))
-    sorted_x = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("__o")).alias("o")).select(*keys, F.transform("o", lambda s: s[x]).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("c"))
+    """Clusters, numbered from 0, whose rows lie within ``width`` of their first row along ``x``: keys, the columns of ``order``, the number. The
+    anchor depends on all rows before, so this is a ``fold``. ``order`` starts with ``x`` (nulls first, in a cluster with the first row after them)."""
+    columns = list(dict.fromkeys([*order, x]))
+    at, parts = columns.index(x), ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+    def make():
+        anchor, n = None, -1
+
+        def step(row):
+            nonlocal anchor, n
+            if row is None:
+                return []
+            if n < 0 or (row[at] is not None and anchor is not None and row[at] - anchor >= width):
+                anchor, n = row[at], n + 1
+            elif anchor is None:
+                anchor = row[at]
+            return [(*row, n)]
 
-    def step(acc, v):
-        new = acc["a"].isNull() | (v - acc["a"] >= width)
-        n = acc["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, v.cast("double")).otherwise(acc["a"]).alias("a"), n.alias("n"), F.array_append(acc["c"], n).alias("c"))
+        return step
 
-    found = sorted_x.select(*keys, F.aggregate("xs", start, step, lambda a: a["c"]).alias("__c"))
-    numbered = df.withColumn("__n", F.row_number().over(_w(keys, list(dict.fromkeys([*order, x])))))
-    return numbered.join(found, list(keys)).withColumn(name, F.element_at("__c", F.col("__n"))).drop("__c", "__n")
+    return fold(df, keys, order, columns, f"{parts}, `{name}` int", make)
 
 
 def chain_count(df: DataFrame, keys: Cols, order: Cols, near: Column) -> DataFrame:
@@ -158,6 +198,7 @@ def stacked_numbers(df: DataFrame, keys: Cols, order: Cols, x: str, text: str, u
     return cut.groupBy(*keys, "place").agg(read(upper).alias("above"), read(~upper).alias("below"))
 
 
-def top_k(df: DataFrame, keys: Cols, order: Sequence, k: int) -> DataFrame:
-    """The first k rows of each key."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+def top_k(df: DataFrame, keys: Cols, order: Sequence, k: int, name: str | None = None) -> DataFrame:
+    """The first k rows of each key, cut down before they are shuffled; ``name``: a column for their rank from 1."""
+    ranked = df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= k)
+    return ranked.withColumnRenamed("__n", name) if name else ranked.drop("__n")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 
 def interpolate(knots: DataFrame, grid: DataFrame, keys, at: str, value: str) -> DataFrame:
     """Linear interpolation of the knots at the grid's places; outside it keeps the first or last value. One union and a sort each way."""
@@ -22,16 +24,28 @@ def interpolate(knots: DataFrame, grid: DataFrame, keys, at: str, value: str) ->
     return found.select(*keys, at, y.cast("double").alias(value))
 
 
-def first_order_fold(df: DataFrame, keys, order: str, value: Column, a: float, name: str = "y") -> DataFrame:
-    """y[n] = a * y[n-1] + x[n] over each key's ordered values: keys and the array of results. Folds one array for each key (a track)."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), value.cast("double").alias("x")))), lambda s: s["x"])
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
+def recursive_filter(df: DataFrame, keys, order, value: str, b: list[float], a: list[float], name: str = "y") -> DataFrame:
+    """The difference equation y[n] = sum(b[k] x[n-k]) - sum(a[k] y[n-k], k > 0), with a[0] = 1, over each key's rows in their order: keys, the columns of
+    ``order``, ``name``. A ``fold`` (the result depends on all rows before): the last inputs and outputs are the state. Null inputs count as 0."""
+    parts = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
+
+    def make():
+        xs, ys = [0.0] * len(b), [0.0] * (len(a) - 1)
+
+        def step(row):
+            if row is None:
+                return []
+            xs.insert(0, float(row[-1] or 0.0))
+            xs.pop()
+            y = sum(c * x for c, x in zip(b, xs, strict=True)) - sum(c * v for c, v in zip(a[1:], ys, strict=True))
+            if ys:
+                ys.insert(0, y)
+                ys.pop()
+            return [(*row[:-1], y)]
 
-    def step(acc, x):
-        y = acc["y"] * a + x
-        return F.struct(y.alias("y"), F.array_append(acc["all"], y).alias("all"))
+        return step
 
-    return df.groupBy(*keys).agg(F.aggregate(xs, start, step, lambda s: s["all"]).alias(name))
+    return fold(df, keys, order, [*order, value], f"{parts}, `{name}` double", make)
 
 
 def smooth_frames(df: DataFrame, keys, order: str, value: str, taps=(0.25, 0.5, 0.25)) -> DataFrame:
@@ -81,12 +95,14 @@ def per_track(df: DataFrame, fn, track: str = "track") -> DataFrame:
 
 
 def reverb_response(rate: int, seconds: float = 1.1, seed: int = 7, predelay: float = 0.02, box: int = 16) -> np.ndarray:
-    """Decaying noise of unit energy after a short silence, smoothed by a running mean."""
+    """Two channels of decaying noise, silent at first, then smoothed by a running mean; each of unit energy."""
     n = int(rate * seconds)
-    t = np.arange(n) / rate
-    tail = np.convolve(np.random.default_rng(seed).standard_normal(n) * np.exp(-6.9 * t / seconds), np.ones(box) / box, "same")
-    out = np.concatenate([np.zeros(int(rate * predelay)), tail])
-    return out / np.sqrt((out**2).sum())
+    decay = np.exp(-6.9 / seconds * np.arange(n) / rate)
+    noise = np.random.default_rng(seed).standard_normal((2, n)).astype(np.float32) * decay
+    noise[:, : int(predelay * rate)] = 0.0
+    mean = np.full(box, 1 / box, np.float32)
+    smooth = [np.convolve(channel, mean, "same") for channel in noise]
+    return np.stack([x / np.sqrt(np.square(x).sum()) for x in smooth])
 
 
 def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -112,9 +128,9 @@ def limiter(x: np.ndarray, rate: int, ceiling: float = 0.93) -> np.ndarray:
 
 
 def click(rate: int, freq: float, length: float = 0.035) -> np.ndarray:
-    """A decaying tone with a partial a little above its octave."""
+    """A tone with a partial a little above its octave; both fall by a factor e in 1/90 s."""
     t = np.arange(int(rate * length)) / rate
-    return (np.sin(2 * np.pi * freq * t) + 0.3 * np.sin(2 * np.pi * 2.01 * freq * t)) * np.exp(-t * 5 / length)
+    return (np.sin(2 * np.pi * freq * t) + 0.3 * np.sin(2 * np.pi * 2.01 * freq * t)) * np.exp(-90 * t)
 
 
 def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -124,17 +140,3 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
     h = np.sinc(k * cutoff) * cutoff * np.hamming(65)
     y = np.convolve(x, h / h.sum(), "same") if up < down else x
     return np.interp(np.arange(len(x) * up // down) * down / up, np.arange(len(x)), y)
-
-
-def timeline(segments, gap: float = 0.002, least: float = 0.012, silence: str = "_") -> list[tuple[str, float, float]]:
-    """Lays segments (name, start, end) end to end: a segment starts at the cursor at the earliest, lasts ``least`` at least, and gaps of more than ``gap``
-    become silence."""
-    out, cursor = [], 0.0
-    for name, start, end in segments:
-        if start - cursor > gap:
-            out.append((silence, cursor, start))
-        start = max(start, cursor)
-        end = max(end, start + least)
-        out.append((name, start, end))
-        cursor = end
-    return out

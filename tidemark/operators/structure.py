@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import interval_overlap
-from .ordered import gap_islands
+from .ordered import fold, gap_islands
 
 Cols = Sequence[str]
 
@@ -24,36 +24,52 @@ def split_at_bars(notes: DataFrame, bars: DataFrame, keys: Cols, width: float) -
 
 def fill_rests(df: DataFrame, keys: Cols, order: Cols, start: str, end: str, until: Column) -> DataFrame:
     """Notes in their order with the rests between them: keys, start, stop, is_rest. A note that starts before the last kept one ends is left out;
-    what lies before the first note (from 0) and after the last one (to ``until``) is rest. What is kept depends on all notes before, so each
-    key's notes are folded as one array; keys are small units, as a voice in a bar."""
-    row = F.struct(*order, F.col(start).alias("__s"), F.col(end).alias("__e"))
-    bars = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__n"), F.max(until).alias("__until"))
-    number = df.schema[start].dataType
-    piece = lambda a, b, rest: F.struct(a.cast(number).alias("start"), b.cast(number).alias("stop"), F.lit(rest).alias("is_rest"))
-    none = F.array().cast(f"array<struct<start:{number.simpleString()},stop:{number.simpleString()},is_rest:boolean>>")
+    what lies before the first note (from 0) and after the last one (to the ``until`` of the last row) is rest. What is kept depends on all notes
+    before, so this is a ``fold``: a task holds a batch of rows, whatever a key has."""
+    number = df.schema[start].dataType.simpleString()
 
-    def with_rest(done: Column, a: Column, b: Column) -> Column:
-        return F.when(a < b, F.array_append(done, piece(a, b, True))).otherwise(done)
+    def make():
+        at, upto = 0, 0
 
-    def step(acc: Column, n: Column) -> Column:
-        kept = F.struct(n["__e"].alias("at"), F.array_append(with_rest(acc["out"], acc["at"], n["__s"]), piece(n["__s"], n["__e"], False)).alias("out"))
-        return F.when(n["__s"] >= acc["at"], kept).otherwise(acc)
+        def step(row):
+            nonlocal at, upto
+            if row is None:
+                return [(at, upto, True)] if at < upto else []
+            s, e, upto = row
+            if s < at:
+                return []
+            out = [(at, s, True)] if at < s else []
+            at = e
+            return [*out, (s, e, False)]
 
-    zero = F.struct(F.lit(0).cast(number).alias("at"), none.alias("out"))
-    done = bars.withColumn("__d", F.aggregate("__n", zero, step)).withColumn("__d", with_rest(F.col("__d.out"), F.col("__d.at"), F.col("__until")))
-    return done.select(*keys, F.inline("__d"))
+        return step
+
+    rows = df.withColumn("__until", until)
+    return fold(rows, keys, order, [start, end, "__until"], f"start {number}, stop {number}, is_rest boolean", make)
 
 
 def keep_apart(df: DataFrame, keys: Cols, order: Cols, x: str, least: float) -> DataFrame:
     """Keys and ``x`` of the rows, in their order, that lie at least ``least`` from every row kept before (equal texts printed on each other count
-    once). Nearness to kept rows is not transitive, so each key's rows are folded as one array; keys are small units, as a word on a page."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(x).alias("__x")))).alias("__r"))
-    none = F.array().cast(f"array<{df.schema[x].dataType.simpleString()}>")
+    once). Nearness to kept rows is not transitive, so this is a ``fold``; kept places are held in sorted order and the two next to a row looked
+    at, so a row costs a binary search."""
+
+    def make():
+        from bisect import bisect_left, insort
+
+        kept: list = []
+
+        def step(row):
+            if row is None or row[0] is None:
+                return []
+            i = bisect_left(kept, row[0])
+            if any(abs(k - row[0]) < least for k in kept[max(0, i - 1) : i + 1]):
+                return []
+            insort(kept, row[0])
+            return [row]
 
-    def step(kept: Column, r: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: F.abs(k - r["__x"]) < least), kept).otherwise(F.array_append(kept, r["__x"]))
+        return step
 
-    return rows.select(*keys, F.explode(F.aggregate("__r", none, step)).alias(x))
+    return fold(df, keys, order, [x], f"`{x}` {df.schema[x].dataType.simpleString()}", make)
 
 
 def best_scoring(candidates: Sequence[DataFrame], keys: Cols, score: str, order: str, limit: Column | None = None) -> DataFrame:

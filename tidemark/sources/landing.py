@@ -24,9 +24,3 @@ def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct lower-case words of a text file, a word a line."""
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
-
-
-def music_char(ch):
-    """Characters of U+F020 to U+F0FF as the Mac Roman byte they stand for; others as they are."""
-    table = F.create_map(*[F.lit(x) for c in range(0x20, 0x100) for x in (chr(0xF000 + c), bytes([c]).decode("mac_roman"))])
-    return F.coalesce(F.try_element_at(table, ch), ch)
