@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.plans import musicxml, performance
-from tidemark.sources import audio, landing
+from tidemark.plans import performance, score
+from tidemark.sources import audio, landing, voicebank
 from tidemark.streaming.islands import streaming_sessions
 
 
@@ -26,12 +27,68 @@ def test_quality_report(spark):
     assert (r["notes"], r["silent"], r["late"]) == (3, 1, 1)
 
 
-def test_musicxml(spark):
-    notes = spark.createDataFrame([("s", "T", 0, 0.0, 1.0, 61, "a<b")], "score_id string, part string, measure int, start double, dur double, midi int, text string")
-    bars = spark.createDataFrame([("s", 0, 1, 0.0, 4.0, 4, 4, -1), ("s", 1, 2, 4.0, 4.0, 4, 4, -1)], "score_id string, idx int, number int, start double, length double, num int, den int, fifths int")
-    a, b = [r["xml"] for r in musicxml.measure_xml(notes, bars).orderBy("idx").collect()]
-    assert "<fifths>-1</fifths>" in a and "<step>D</step><alter>-1</alter><octave>4</octave>" in a and "a&lt;b" in a and "<duration>48</duration>" in a
-    assert "fifths" not in b and "rest" in b
+def test_quality_of_groups(spark):
+    """No onset is asked for where the note before still sounds, or where a syllable goes on; lists name the notes."""
+    notes = spark.createDataFrame([("T", 0, 1.0, 1.0, True), ("T", 0, 2.01, 1.0, True), ("T", 0, 5.0, 1.0, False), ("T", 0, 7.0, 1.0, True), ("T", 0, 9.0, 0.1, True), ("U", 0, 1.0, 1.0, True)], "part string, voice int, t double, dur double, syllable boolean")
+    level = lambda i: 0.5 if 100 <= i < 200 or 225 <= i < 300 or 530 <= i < 600 or 730 <= i < 800 else 0.0
+    frames = spark.createDataFrame([("T", 0, i, level(i)) for i in range(1000)], "part string, voice int, frame_idx long, level double")
+    out = {r["part"]: r for r in performance.quality_report(notes, frames).collect()}
+    assert (out["T"]["notes"], out["T"]["silent"], out["T"]["late"], out["T"]["late_at"]) == (4, 0, 1, [7.0])
+    assert performance.quality_report(notes.limit(0), frames).collect() == []
+
+
+def test_beats(spark):
+    bars = spark.createDataFrame([("s", 0, 0.0, 1.0, 4, 4, False, False, 2), ("s", 1, 1.0, 3.0, 6, 8, False, False, 2)], "score_id string, idx int, start double, length double, num int, den int, repeat_start boolean, repeat_end boolean, repeat_times int")
+    tempos = spark.createDataFrame([("s", 0.0, 120.0)], "score_id string, start double, qpm double")
+    played = performance.performed_measures(bars, tempos)
+    assert [(r["t"], r["level"]) for r in performance.beats_of(played, bars).orderBy("t").collect()] == [(0.0, 1), (0.5, 2), (1.25, 1)]
+    assert [r["level"] for r in performance.beats_of(played, bars, 0.5).orderBy("t").collect()] == [1, 0, 2, 0, 0, 1, 0, 0]
+    r = performance.first_tempo(bars, tempos).first()
+    assert (r["seconds"], r["clicks"]) == (0.75, 2)
+
+
+def test_pitch_report(spark):
+    notes = spark.createDataFrame([("T", 0, k, float(k), 1.0, 440.0) for k in range(3)] + [("T", 0, 9, 5.0, 0.2, 440.0)], "part string, voice int, note int, t double, dur double, target double")
+    frames = spark.createDataFrame([("T", 0, i / 20, 440.0 * (1.05 if i < 20 else 1.0) if i < 60 else 0.0) for i in range(120)], "part string, voice int, t double, hz double")
+    r = performance.pitch_report(notes, frames).first()
+    assert (r["notes"], r["off"]) == (3, 1) and abs(r["median"]) < 1e-6
+
+
+def test_voice_banks(spark, tmp_path):
+    base = tmp_path / "banks" / "one" / "configs"
+    (base / "embeds").mkdir(parents=True)
+    (base / "dsconfig.yaml").write_text("# bank\nsample_rate: 44100\nhop_size: 512\nphonemes: p.json\nlanguages: 'l.json'\nspeakers:\n  - a\nmax_depth: 0.6 # most\n")
+    (base / "p.json").write_text('{"SP": 1, "en/aa": 2}')
+    (base / "l.json").write_text('{"en": 3}')
+    np.arange(4, dtype="<f4").tofile(str(base / "embeds" / "soft.emb"))
+    folder = str(tmp_path / "banks")
+    assert [r["bank"] for r in voicebank.list_banks(spark, folder).collect()] == ["one"]
+    b = voicebank.bank(folder + "/one")
+    assert b["tokens"]["en/aa"] == 2 and b["languages"] == {"en": 3} and b["settings"]["max_depth"] == 0.6 and b["frame"] == 512 / 44100 and b["embeds"]["soft"].tolist() == [0, 1, 2, 3]
+    r = voicebank.embeddings(spark, folder).first()
+    assert (r["bank"], r["mode"], list(r["vector"])) == ("one", "soft", [0, 1, 2, 3])
+    (base / "dsconfig.yaml").write_text("sample_rate: 16000\n")
+    with pytest.raises(ValueError, match="sample rate"):
+        voicebank.read_bank(folder + "/one")
+
+
+def test_documents_are_found_in_order(spark, tmp_path):
+    for folder, names in (("input", ("b.pdf", "a.pdf", "x.txt")), ("other", ("0.pdf",))):
+        (tmp_path / folder).mkdir()
+        for name in names:
+            (tmp_path / folder / name).write_bytes(b"x")
+    out = score.find_documents(spark, [str(tmp_path / "input"), str(tmp_path / "other")]).orderBy("ord").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in out] == ["a.pdf", "b.pdf", "0.pdf"]
+
+
+def test_stereo_files(spark):
+    frames = spark.createDataFrame([("t", c, i, [0.25 * (c + 1)] * 3) for c in range(2) for i in range(2)], "track string, channel int, frame_idx long, samples array<float>")
+    content = bytes(audio.to_files(frames, 8000).first()["content"])
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(content)) as f:
+        assert (f.getnchannels(), f.getnframes()) == (2, 6) and np.frombuffer(f.readframes(1), "<i2").tolist() == [8191, 16383]
 
 
 def test_wav_round_trip(spark, tmp_path):

@@ -245,3 +245,9 @@ def map_union(own: Column, other: Column) -> Column:
     a, b = F.coalesce(F.map_entries(own), F.array()), F.coalesce(F.map_entries(other), F.array())
     lacking = F.filter(b, lambda e: ~F.coalesce(F.map_contains_key(own, e["key"]), F.lit(False)))
     return F.map_from_entries(F.concat(a, lacking))
+
+
+def click_sample(t: Column, freq: float) -> Column:
+    """Sample at t seconds of a metronome click: a tone and a partial a little above its octave, both falling by a factor e in 1/90 s."""
+    turn = F.lit(2.0) * F.pi() * freq
+    return (F.sin(turn * t) + 0.3 * F.sin(F.lit(2.0) * F.pi() * F.lit(2.01) * freq * t)) * F.exp(-90 * t)

@@ -96,3 +96,14 @@ def overlap_add(df: DataFrame, start: Column, value: Column, taps: Sequence[int]
 def mix_bus(parts: DataFrame, gains: DataFrame, part: str, index: str, value: str) -> DataFrame:
     """Sum of all parts' samples, each by its gain (a row for each part; missing: 0)."""
     return parts.join(gains, part).groupBy(index).agg(F.sum(F.col(value) * F.col("gain")).alias(value))
+
+
+def loudness_gain(samples: DataFrame, track: str, channel: str, index: str, value: str, target: float = 0.2, active: float = 0.01) -> DataFrame:
+    """For each track the gain that brings its louder channel's root mean square to the target, over the places where some channel exceeds ``active`` of the peak. A silent track counts as
+    of level 1. Levels below 1e-6 count as that."""
+    peaks = samples.groupBy(track).agg(F.max(F.abs(F.col(value))).alias("__peak"))
+    places = samples.groupBy(track, index).agg(F.max(F.abs(F.col(value))).alias("__most")).join(peaks, track)
+    loud = places.where(F.col("__most") > active * F.when(F.col("__peak") > 0, F.col("__peak")).otherwise(1.0)).select(track, index)
+    heard = samples.join(loud, [track, index])
+    by_channel = heard.groupBy(track, channel).agg(F.sqrt(F.avg((F.col(value) * F.col(value)).cast("double"))).alias("__rms")).groupBy(track).agg(F.max("__rms").alias("__rms"))
+    return peaks.join(by_channel, track, "left").select(track, (F.lit(target) / F.greatest(F.coalesce("__rms", F.lit(1.0)), F.lit(1e-6))).alias("gain"))

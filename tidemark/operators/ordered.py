@@ -202,3 +202,10 @@ def top_k(df: DataFrame, keys: Cols, order: Sequence, k: int, name: str | None =
     """The first k rows of each key, cut down before they are shuffled; ``name``: a column for their rank from 1."""
     ranked = df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= k)
     return ranked.withColumnRenamed("__n", name) if name else ranked.drop("__n")
+
+
+def melisma_groups(df: DataFrame, keys: Cols, order: Cols, syllable: str, t: str, dur: str, name: str = "group", within: float = 0.02) -> DataFrame:
+    """Number the groups of a note with a syllable and the notes after it without one, each of which starts (within ``within``) where the one before ends."""
+    w = _w(keys, order)
+    follows = F.col(syllable).isNull() & (F.abs(F.lag(F.col(t) + F.col(dur)).over(w) - F.col(t)) < within)
+    return islands_where(df, keys, order, follows, name)

@@ -371,3 +371,15 @@ def lyric_score(dx: Column, gap: Column, space: Column, above: Column) -> Column
 def repeat_dots(glyphs: DataFrame) -> DataFrame:
     """Dots of the special font near the middle of their staff (within 0.8 spaces)."""
     return glyphs.where((F.col("font") == SPECIAL_FONT) & (F.col("ch") == DOT) & (F.abs(F.col("y") - F.col("mid")) < 0.8 * F.col("space")))
+
+
+def time_signatures(glyphs: DataFrame, keys: Cols) -> DataFrame:
+    """Keys, x, num, den: digits above each other about the staff's middle, in columns of 3 points, and the signs c (4/4) and C (2/2) within a space of it."""
+    music = glyphs.where(F.col("font") == MUSIC_FONT)
+    digits = music.where(F.col("ch").rlike("^[0-9]$") & (F.col("size") > 13)).withColumn("__place", F.bround(F.col("x0") / 3))
+    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("x", "ord", "ch")))), lambda s: s["ch"]), "")
+    columns = digits.groupBy(*keys, "__place").agg(F.min_by("x0", "ord").alias("x"), side(F.col("y") < F.col("mid")).alias("__above"), side(F.col("y") > F.col("mid")).alias("__below"))
+    stacked = columns.where("__above <> '' and __below <> ''").select(*keys, "x", F.col("__above").try_cast("int").alias("num"), F.col("__below").try_cast("int").alias("den"))
+    signs = music.where(F.col("ch").isin("c", "C") & (F.abs(F.col("y") - F.col("mid")) < F.col("space")))
+    value = F.when(F.col("ch") == "c", 4).otherwise(2)
+    return stacked.unionByName(signs.select(*keys, F.col("x0").alias("x"), value.alias("num"), value.alias("den")))

@@ -48,13 +48,47 @@ def recursive_filter(df: DataFrame, keys, order, value: str, b: list[float], a:
     return fold(df, keys, order, [*order, value], f"{parts}, `{name}` double", make)
 
 
-def smooth_frames(df: DataFrame, keys, order: str, value: str, taps=(0.25, 0.5, 0.25)) -> DataFrame:
-    """Weighted sum of a row and its neighbours (missing ones count as zero), then tanh(2.5 y) / 2.5."""
+def smooth_frames(df: DataFrame, keys, order: str, value: str, taps=(0.25, 0.5, 0.25), floor: float = 1e-12) -> DataFrame:
+    """``smooth``: the weighted sum of the logarithms of a row and its neighbours (missing ones count as 0), and back. Values are raised by ``floor`` first."""
     w, half = W.partitionBy(*keys).orderBy(order), len(taps) // 2
+    logs = df.withColumn("__log", F.log(F.col(value) + floor))
     total = F.lit(0.0)
     for k, t in enumerate(taps):
-        total = total + F.lit(t) * F.coalesce(F.lag(value, half - k).over(w), F.lit(0.0))
-    return df.withColumn("smooth", F.tanh(total * 2.5) / 2.5)
+        total = total + F.lit(t) * F.coalesce(F.lag("__log", half - k).over(w), F.lit(0.0))
+    return logs.withColumn("smooth", F.exp(total)).drop("__log")
+
+
+def soft_clip(value):
+    """tanh(2.5 y) / 2.5: peaks are rounded, small values stay."""
+    return F.tanh(value * 2.5) / 2.5
+
+
+def sliding_mirrored(df: DataFrame, keys, index: str, value: str, size: int, how: str, name: str) -> DataFrame:
+    """``max``, ``min`` or ``avg`` over a window of ``size`` rows about each row (an even one reaches one further back), with borders mirrored about the edge: rows near a border are repeated beyond it, in reverse, before the window
+    runs. ``index`` counts a key's rows from 0. Keys with fewer rows than half a window are not mirrored twice."""
+    before, after = size // 2, size - size // 2 - 1
+    n = F.count("*").over(W.partitionBy(*keys))
+    counted = df.withColumn("__n", n)
+    copies = F.array(
+        F.struct(F.col(index).alias("p"), F.lit(True).alias("own")),
+        F.when(F.col(index) < before, F.struct((-1 - F.col(index)).alias("p"), F.lit(False).alias("own"))),
+        F.when(F.col(index) >= F.col("__n") - after, F.struct((2 * F.col("__n") - 1 - F.col(index)).alias("p"), F.lit(False).alias("own"))),
+    )
+    padded = counted.withColumn("__c", F.explode(F.array_compact(copies)))
+    w = W.partitionBy(*keys).orderBy("__p").rowsBetween(-before, after)
+    done = padded.withColumn("__p", F.col("__c.p")).withColumn(name, {"max": F.max, "min": F.min, "avg": F.avg}[how](value).over(w))
+    return done.where("__c.own").drop("__n", "__c", "__p")
+
+
+def limit_peaks(df: DataFrame, keys, index: str, value: str, rate: int, ceiling: float = 0.93) -> DataFrame:
+    """``df`` with ``limited``: the gain keeps the envelope (a maximum over 10 ms) under the ceiling, is held at its lowest for 80 ms and smoothed over 10 ms; the result is clipped at the ceiling."""
+    short, hold, mean = 2 * int(0.005 * rate) + 1, int(0.08 * rate), int(0.01 * rate)
+    rows = sliding_mirrored(df.withColumn("__a", F.abs(value)), keys, index, "__a", short, "max", "__env")
+    gain = rows.withColumn("__g", F.least(F.lit(1.0), F.lit(ceiling) / F.greatest(F.col("__env"), F.lit(1e-9))))
+    held = sliding_mirrored(gain, keys, index, "__g", hold, "min", "__h")
+    smooth = sliding_mirrored(held, keys, index, "__h", mean, "avg", "__s")
+    out = F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col(value) * F.col("__s")))
+    return smooth.withColumn("limited", out).drop("__a", "__env", "__g", "__h", "__s")
 
 
 def shelf(sample_rate: float, f0: float, gain_db: float, high: bool) -> tuple[list[float], list[float]]:
@@ -120,10 +154,10 @@ def sliding_reflect(x: np.ndarray, size: int, how: str) -> np.ndarray:
 
 
 def limiter(x: np.ndarray, rate: int, ceiling: float = 0.93) -> np.ndarray:
-    """Gain that keeps the envelope (10 ms maximum) under the ceiling, held for 80 ms, smoothed over 10 ms; clipped at the ceiling."""
+    """``limit_peaks`` of a whole track at once: gain that keeps the envelope (10 ms maximum) under the ceiling, held for 80 ms, smoothed over 10 ms; clipped."""
     short = 2 * int(0.005 * rate) + 1
     gain = np.minimum(1.0, ceiling / np.maximum(sliding_reflect(np.abs(x), short, "max"), 1e-9))
-    gain = sliding_reflect(sliding_reflect(gain, max(1, int(0.08 * rate)), "min"), short, "mean")
+    gain = sliding_reflect(sliding_reflect(gain, max(1, int(0.08 * rate)), "min"), max(1, int(0.01 * rate)), "mean")
     return np.clip(x * gain, -ceiling, ceiling)
 
 
@@ -134,9 +168,17 @@ def click(rate: int, freq: float, length: float = 0.035) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """By a rational ratio: a windowed-sinc filter at the lower of both rates, then linear reading at the new places."""
-    cutoff = min(1.0, up / down)
-    k = np.arange(-32, 33)
-    h = np.sinc(k * cutoff) * cutoff * np.hamming(65)
-    y = np.convolve(x, h / h.sum(), "same") if up < down else x
-    return np.interp(np.arange(len(x) * up // down) * down / up, np.arange(len(x)), y)
+    """By a rational ratio: zeros between the samples, a low-pass filter at the lower of both rates (a sinc of ten periods a side under a Kaiser window), every ``down``-th sample of the result. The length is
+    the input's times the ratio, rounded up."""
+    common = int(np.gcd(up, down))
+    up, down = up // common, down // common
+    if up == down or not len(x):
+        return np.asarray(x, np.float64).copy()
+    most = max(up, down)
+    k = np.arange(-10 * most, 10 * most + 1)
+    h = np.sinc(k / most) * np.kaiser(len(k), 5.0)
+    h *= up / h.sum()
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    y = np.convolve(wide, h)[10 * most :]
+    return y[: len(wide) : down]

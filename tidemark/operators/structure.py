@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import interval_overlap
-from .ordered import fold, gap_islands
+from .ordered import fold, gap_islands, top_k
 
 Cols = Sequence[str]
 
@@ -123,3 +123,77 @@ def pitch_errors(notes: DataFrame, frames: DataFrame, keys: Cols, note: str, tar
     met = spans.join(voiced, [*keys, "__b"]).where("t >= __lo and t < __hi")
     found = met.groupBy(*keys, note, target).agg(F.median("hz").alias("__m"), F.count("*").alias("n")).where(F.col("n") >= least)
     return found.select(*keys, note, "n", (1200 * F.log2(F.col("__m") / F.col(target))).alias("cents"))
+
+
+def copy_words(notes: DataFrame, others: DataFrame, keys: Cols, start: str, lyrics: str, merge: bool = False) -> DataFrame:
+    """Notes with the lyrics (maps by verse) of another voice at the same time, to four digits: where they have none, or (``merge``) for each verse that they lack. Of several
+    others at a time the one of the greatest start counts, then any."""
+    from ..functions.scalars import map_union
+
+    sung = others.where(F.size(lyrics) > 0)
+    there = sung.groupBy(*keys, F.bround(start, 4).alias("__t")).agg(F.max_by(F.col(lyrics), F.col(start)).alias("__other"))
+    both = notes.withColumn("__t", F.bround(start, 4)).join(there, [*keys, "__t"], "left")
+    none = F.col(lyrics).isNull() | (F.size(lyrics) == 0)
+    copied = F.when(none, F.coalesce("__other", F.col(lyrics))).otherwise(map_union(F.col(lyrics), F.col("__other")) if merge else F.col(lyrics))
+    return both.withColumn(lyrics, copied).drop("__t", "__other")
+
+
+def with_fill(own: DataFrame, other: DataFrame, keys: Cols, start: str, end: str, tolerance: float = 0.0) -> DataFrame:
+    """Rows of a part and, as ``filled``, those of another that none of its own overlaps."""
+    span = lambda df, side: df.withColumns({f"{side}_start": F.col(start), f"{side}_end": F.col(end)})
+    free = interval_overlap(span(other, "l"), span(own, "r").select(*keys, "r_start", "r_end"), keys, 1.0, tolerance, "left_anti").drop("l_start", "l_end")
+    return own.withColumn("filled", F.lit(False)).unionByName(free.withColumn("filled", F.lit(True)))
+
+
+def select_parts(parts: DataFrame, keys: Cols, wanted: str, order: str) -> DataFrame:
+    """The parts (name, display_name) that are asked for: ``all``, or the first in order that has the name, whatever its case and with or without a dot behind it, or the
+    display name. ``tutti`` asks for no part in particular: none."""
+    asked = wanted.strip().lower()
+    if asked == "all":
+        return parts
+    bare = lambda c: F.rtrim(F.lower(c), F.lit("."))
+    fits = (bare(F.col("name")) == asked.rstrip(".")) | (F.lower("display_name") == asked)
+    return top_k(parts.where(fits if asked != "tutti" else F.lit(False)), keys, [order], 1)
+
+
+def judged_notes(notes: DataFrame, least: float, part: str | None = None, parts: Sequence[str] | None = None, bars: tuple[int, int] | None = None) -> DataFrame:
+    """Notes of at least ``least`` seconds, of some parts only and (``bar``) from one bar to another, where given."""
+    kept = notes.where(F.col("dur") >= least)
+    if parts is not None:
+        kept = kept.where(F.col(part).isin(*parts))
+    return kept if bars is None else kept.where(F.col("bar").between(*bars))
+
+
+def choose_singers(kinds: DataFrame, banks: DataFrame) -> DataFrame:
+    """For each voice kind its bank, modes (array of struct name, weight), gender, and whether it is a ``stand_in``: the first installed one of the same sex, in its plain mode,
+    where its own is not there. A kind without any raises."""
+    from ..functions.constants import SINGERS, STAND_INS
+
+    spark = kinds.sparkSession
+    own = [(kind, 0, bank, [list(m) for m in modes], gender) for kind, (bank, modes, gender) in SINGERS.items()]
+    other = [(kind, 1 + i, bank, [["standard", 1.0]], SINGERS[kind][2]) for kind, names in STAND_INS.items() for i, bank in enumerate(names) if bank != SINGERS[kind][0]]
+    wanted = spark.createDataFrame([(k, p, b, [(m, float(w)) for m, w in ms], float(g)) for k, p, b, ms, g in own + other], "kind string, place int, bank string, modes array<struct<name:string,weight:double>>, gender double")
+    best = wanted.join(F.broadcast(banks.select("bank").distinct()), "bank", "left_semi").groupBy("kind").agg(F.min_by(F.struct("bank", "modes", "gender", (F.col("place") > 0).alias("stand_in")), "place").alias("s"))
+    found = kinds.join(F.broadcast(best), "kind", "left")
+    checked = F.coalesce(F.col("s.bank"), F.raise_error(F.concat(F.lit("no voice bank for the "), F.col("kind"))).cast("string"))
+    return found.withColumns({"bank": checked, "modes": F.col("s.modes"), "gender": F.col("s.gender"), "stand_in": F.col("s.stand_in")}).drop("s")
+
+
+def first_printed(words: DataFrame, keys: Cols, order: Cols, least: float = 1.0) -> DataFrame:
+    """Words (text, x0, y) but those that are printed within ``least`` of an equal one kept before, both ways. Nearness to kept words is not transitive: a ``fold`` over the words of equal text."""
+    columns = [c for c in words.columns if c not in {*keys, "text"}]
+    parts = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in columns)
+    x, y = columns.index("x0"), columns.index("y")
+
+    def make():
+        kept: list = []
+
+        def step(row):
+            if row is None or any(abs(a - row[x]) < least and abs(b - row[y]) < least for a, b in kept):
+                return []
+            kept.append((row[x], row[y]))
+            return [row]
+
+        return step
+
+    return fold(words, [*keys, "text"], order, columns, parts, make)

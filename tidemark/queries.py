@@ -508,4 +508,4 @@ def pitch_errors(spark, sf_dir):
     return found.withColumn("cents", F.round("cents", 6))
 
 
-from . import queries_pages  # noqa: E402, F401 (they add their queries to the tables above)
+from . import queries_pages, queries_scalars, queries_singing  # noqa: E402, F401 (they add their queries to the tables above)

@@ -48,13 +48,33 @@ def read_wav(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     return files.mapInPandas(run, "track string, rate int, frame_idx long, samples array<float>")
 
 
-def to_wav(frames: DataFrame, rate: int) -> DataFrame:
-    """(track, content): one binary file for each track of (track, frame_idx, samples)."""
+def encode_mp3(samples: np.ndarray, rate: int, kbps: int = 192) -> bytes:
+    """An MP3 file of one or two rows of samples, clipped to 1 and cut toward zero. Needs the package lameenc."""
+    import lameenc
+
+    pcm = (np.clip(np.atleast_2d(samples), -1, 1) * 32767).astype("<i2")
+    encoder = lameenc.Encoder()
+    encoder.set_bit_rate(kbps)
+    encoder.set_in_sample_rate(rate)
+    encoder.set_channels(len(pcm))
+    encoder.set_quality(2)
+    return bytes(encoder.encode(pcm.T.tobytes()) + encoder.flush())
+
+
+def to_files(frames: DataFrame, rate: int, encode=encode_wav) -> DataFrame:
+    """(track, content): one binary file for each track of (track, frame_idx, samples, and ``channel`` for stereo, channels in their order). A track, some minutes of sound, is one group."""
+    stereo = "channel" in frames.columns
 
     def run(key, pdf):
         import pandas as pd
 
-        x = np.concatenate([np.asarray(s, np.float32) for s in pdf.sort_values("frame_idx")["samples"]])
-        return pd.DataFrame({"track": [key[0]], "content": [encode_wav(x, rate)]})
+        rows = [g.sort_values("frame_idx")["samples"] for _, g in (pdf.groupby("channel") if stereo else [(0, pdf)])]
+        x = [np.concatenate([np.asarray(s, np.float32) for s in r]) for r in rows]
+        return pd.DataFrame({"track": [key[0]], "content": [encode(np.stack([c[: min(map(len, x))] for c in x]), rate)]})
 
     return frames.groupBy("track").applyInPandas(run, "track string, content binary")
+
+
+def to_wav(frames: DataFrame, rate: int) -> DataFrame:
+    """(track, content): a WAV file for each track."""
+    return to_files(frames, rate)

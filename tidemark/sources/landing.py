@@ -9,10 +9,12 @@ SCHEMAS = {
     "glyphs": "score_id string, ord long, page int, font string, ch string, x double, y double, x0 double, x1 double, size double",
     "words": "score_id string, ord long, page int, text string, x0 double, x1 double, y double, size double, font string",
     "lines": "score_id string, ord long, page int, x0 double, y0 double, x1 double, y1 double, width double",
+    "beams": "score_id string, ord long, page int, pts array<struct<x:double,y:double>>, x0 double, x1 double",
+    "curves": "score_id string, ord long, page int, x0 double, y0 double, x1 double, y1 double",
     "staves": "score_id string, ord long, system int, page int, x0 double, x1 double, lines array<double>, name string",
     "measures": "score_id string, idx int, number int, start double, length double, num int, den int, repeat_start boolean, repeat_end boolean, repeat_times int, fifths int, text string",
     "tempos": "score_id string, start double, qpm double",
-    "notes": "score_id string, ord long, part string, voice int, start double, dur double, midi int, lyrics map<int,struct<text:string,hyphen_after:boolean>>, measure int, tie_start boolean",
+    "notes": "score_id string, ord long, part string, voice int, start double, dur double, midi int, lyrics map<int,struct<text:string,hyphen_after:boolean>>, measure int, tie_start boolean, x_notehead boolean",
 }
 
 
