@@ -55,7 +55,7 @@ def pho_lines(spark, sf_dir):
     r = lines(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE)).cast("long"))
     ms = F.col("l_linenumber") * 900 + F.col("q") * 7
     r = r.withColumns({"phone": F.when(F.col("l_partkey") % 3 == 0, "_").otherwise("a"), "start": ms / 1000.0, "end": (ms + F.col("l_suppkey") % 50 * 70) / 1000.0})
-    return singing.pho_lines(r, ["l_orderkey"], ["k"])
+    return singing.pho_lines(r, ["l_orderkey"], ["k"]).withColumn("piece", F.col("piece").cast("long"))
 
 
 _NEURAL = ("b", "m", "s", "ng", "r", "q")
