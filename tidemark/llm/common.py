@@ -30,6 +30,11 @@ def slices(batches) -> Iterator:
             yield batch.slice(i, BATCH_ROWS)
 
 
+def in_slices(column, make) -> list:
+    """make(value) for each value of an Arrow array, BATCH_ROWS of which are Python objects at a time."""
+    return [make(v) for i in range(0, len(column), BATCH_ROWS) for v in column.slice(i, BATCH_ROWS).to_pylist()]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until ``df`` has no column of that name (case does not count)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, read
+from .common import crc32_of_id, fresh, in_slices, read
 
 #: Hashed n-grams of 1 to 3 letters; centroids of a language.
 DIM, CENTROIDS = 4096, 3
@@ -144,7 +144,7 @@ def train(df: DataFrame, lang_column: str = "lang", text_column: str = "text", p
     def vectors(texts):
         import pyarrow as pa
 
-        found = [counts(t) for t in texts.to_pylist()]
+        found = in_slices(texts, counts)
         return pa.array([None if v is None else v.tobytes() for v in found], pa.binary())
 
     found = chosen.withColumn("v", vectors.asNondeterministic()("text")).where("v is not null").groupBy("lang", "h").agg(F.first("v").alias("v"))
@@ -161,7 +161,7 @@ def predict(df: DataFrame, model: Model, text_column: str = "text"):
     def run(texts):
         import pyarrow as pa
 
-        found = [sent.value.predict(t) for t in texts.to_pylist()]
+        found = in_slices(texts, sent.value.predict)
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang", "score", "rejected"])
 
     (p,) = fresh(df, "p")

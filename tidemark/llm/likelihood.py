@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import fresh, in_slices, read, slices
 from .statistics import counts
 
 #: Buckets of hashed n-grams, the smoothing of a bucket, and the ratio per n-gram below which a document is dropped.
@@ -41,7 +41,7 @@ def totals(df: DataFrame, flag: str, text_column: str = "text"):
         import pyarrow as pa
 
         total, flagged = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for t, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 g = grams(t)
                 total += g
@@ -77,12 +77,12 @@ def judge(df: DataFrame, ratios, text_column: str = "text") -> DataFrame:
     def run(texts):
         import pyarrow as pa
 
-        texts = texts.to_pylist()
-        found = [counts(t) for t in texts]
-        llr = []
-        for t in texts:
-            g = grams(t)
-            llr.append(float(g @ sent.value) / max(1, int(g.sum())))
+        def score(text):
+            g = grams(text)
+            return counts(text), float(g @ sent.value) / max(1, int(g.sum()))
+
+        rows = in_slices(texts, score)
+        found, llr = [c for c, _ in rows], [x for _, x in rows]
         return pa.StructArray.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in names] + [pa.array(llr, pa.float64())], names=[*names, "llr"])
 
     (j,) = fresh(df, "j")

@@ -20,7 +20,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, range_bounds, range_bucket, read, slices, text_hash, whole_numbers
+from .common import in_slices, n_partitions, range_bounds, range_bucket, read, slices, text_hash, whole_numbers
 
 #: A segment ends after a word whose crc32 is divisible by this, or after MOST_WORDS words, or with its line.
 CUT_EVERY, MOST_WORDS = 3, 12
@@ -138,7 +138,7 @@ def fingerprint(column):
     def run(texts):
         import pyarrow as pa
 
-        return pa.array([render(*tree(t)) for t in texts.to_pylist()], pa.string())
+        return pa.array(in_slices(texts, lambda t: render(*tree(t))), pa.string())
 
     return run(column)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, read
+from .common import crc32_of_id, fresh, in_slices, read
 from .statistics import NAMES, vector
 
 #: Bound of the training sample (labelled documents), trees, their depth, the L1 penalty, its steps, and the fewest documents of a node.
@@ -114,7 +114,7 @@ def statistics_of(column: Column) -> Column:
         import numpy as np
         import pyarrow as pa
 
-        m = np.array([vector(t) for t in texts.to_pylist()], np.float64).reshape(-1, len(NAMES))
+        m = np.array(in_slices(texts, vector), np.float64).reshape(-1, len(NAMES))
         return pa.StructArray.from_arrays([pa.array(m[:, i].copy()) for i in range(len(NAMES))], names=list(NAMES))
 
     return run.asNondeterministic()(column)

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, discard, fresh, join_counted, materialize, n_partitions, read, text_hash
+from .common import HOT_SHARE, discard, fresh, in_slices, join_counted, materialize, n_partitions, read, text_hash
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -51,7 +51,7 @@ def fingerprint(column: Column) -> Column:
         import numpy as np
         import pyarrow as pa
 
-        return pa.array(np.array([simhash(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.array(in_slices(texts, simhash), np.uint64).view(np.int64))
 
     return run.asNondeterministic()(column)
 
