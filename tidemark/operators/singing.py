@@ -29,7 +29,7 @@ def max_plus(df: DataFrame, keys: Cols, order: Cols, least: Column, plus: Column
 
 
 def lay_out(df: DataFrame, keys: Cols, order: Cols, phone: str, start: str, end: str, dur: str | None = None, least: float = 0.012, gap: float = 0.002, pause: float = 0.025) -> DataFrame:
-    """Sounds one after another: keys, ``order``, part (0 silence before, 1 the sound), phone, start, end. A sound starts at its ``start`` or where the one before ends, whichever is later (null: there), ends at ``end`` (null: after
+    """Sounds one after another: keys, ``order``, slot (0 silence before, 1 the sound), phone, start, end. A sound starts at its ``start`` or where the one before ends, whichever is later (null: there), ends at ``end`` (null: after
     ``dur``) and lasts at least ``least``. More than ``gap`` before it is silence (``_``). The same vowel twice in a row is parted by ``pause`` taken from the first."""
     length = F.col(dur) if dur else F.lit(None).cast("double")
     stop = F.coalesce(F.col(end), F.col(start) + length)
@@ -42,7 +42,7 @@ def lay_out(df: DataFrame, keys: Cols, order: Cols, phone: str, start: str, end:
     twice = F.col(phone).isin(*constants.VOWELS) & (F.lag(phone).over(w) == F.col(phone)) & ~F.col("__silent") & (F.abs(F.col("__s") - F.col("__c_before")) < gap)
     marked = placed.withColumn("__twice", F.coalesce(twice, F.lit(False)))
     shortened = marked.withColumn("__e", F.col("__c") - F.when(F.coalesce(F.lead("__twice").over(w), F.lit(False)), pause).otherwise(0.0))
-    make = lambda part, name, a, b: F.struct(F.lit(part).alias("part"), name.alias("phone"), a.alias("start"), b.alias("end"))
+    make = lambda slot, name, a, b: F.struct(F.lit(slot).alias("slot"), name.alias("phone"), a.alias("start"), b.alias("end"))
     before = F.when(F.col("__silent"), make(0, F.lit("_"), F.col("__c_before"), F.col("__s"))).when(F.col("__twice"), make(0, F.lit("_"), F.col("__c_before") - pause, F.col("__s")))
     sounds = F.array_compact(F.array(before, make(1, F.col(phone), F.col("__s"), F.col("__e"))))
     return shortened.select(*keys, *order, F.inline(sounds))

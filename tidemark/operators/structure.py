@@ -145,14 +145,14 @@ def with_fill(own: DataFrame, other: DataFrame, keys: Cols, start: str, end: str
     return own.withColumn("filled", F.lit(False)).unionByName(free.withColumn("filled", F.lit(True)))
 
 
-def select_parts(parts: DataFrame, keys: Cols, wanted: str, order: str) -> DataFrame:
-    """The parts (name, display_name) that are asked for: ``all``, or the first in order that has the name, whatever its case and with or without a dot behind it, or the
+def select_parts(parts: DataFrame, keys: Cols, wanted: str, order: str, name: str = "name") -> DataFrame:
+    """The parts (``name``, display_name) that are asked for: ``all``, or the first in order that has the name, whatever its case and with or without a dot behind it, or the
     display name. ``tutti`` asks for no part in particular: none."""
     asked = wanted.strip().lower()
     if asked == "all":
         return parts
     bare = lambda c: F.rtrim(F.lower(c), F.lit("."))
-    fits = (bare(F.col("name")) == asked.rstrip(".")) | (F.lower("display_name") == asked)
+    fits = (bare(F.col(name)) == asked.rstrip(".")) | (F.lower("display_name") == asked)
     return top_k(parts.where(fits if asked != "tutti" else F.lit(False)), keys, [order], 1)
 
 

@@ -24,7 +24,7 @@ def laid_out(spark, sf_dir):
     start = (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 8).cast("double")
     r = r.withColumns({"ph": entry(_SOUNDS, F.col("l_partkey")), "s": start, "e": start + F.col("q") % 15})
     found = singing.lay_out(r, ["l_orderkey"], ["k"], "ph", "s", "e", least=2.0, gap=1.0, pause=1.0)
-    return found.select("l_orderkey", "k", "part", "phone", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+    return found.select("l_orderkey", "k", F.col("slot").alias("part"), "phone", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
 
 
 _CONS = ("b", "m", "s", "N", "l", "tS")
