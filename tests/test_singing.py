@@ -151,3 +151,51 @@ def test_resample():
 def test_whole_note_groups_and_time_signatures(spark):
     heads = spark.createDataFrame([("s", 0, 10.0, 5.0), ("s", 1, 17.0, 5.0), ("s", 2, 18.5, 5.0)], "s string, ord long, x0 double, space double")
     assert [r["cluster"] for r in pages.whole_note_groups(heads, ["s"]).orderBy("ord").collect()] == [0, 0, 1]
+
+
+def test_mixdown_equals_arrays(spark):
+    from tidemark.plans import mixdown
+
+    rng, rate = np.random.default_rng(8), 2000
+    x = {"S": rng.standard_normal(4000) * 0.3, "B": rng.standard_normal(3500) * 0.1}
+    samples = spark.createDataFrame([(p, i, float(v)) for p, xs in x.items() for i, v in enumerate(xs)], "part string, idx long, value double")
+    parts = spark.createDataFrame([("S", 0), ("B", 1)], "part string, ord int")
+    beats = spark.createDataFrame([(0.0, 2), (0.5, 1), (1.99, 0)], "t double, level int")
+    for focus in (None, "B"):
+        out = mixdown.mixdown(samples, parts, beats, focus, rate).orderBy("idx").collect()
+        stereo = np.zeros((2, 4000))
+        for i, (p, xs) in enumerate(x.items()):
+            y = np.zeros(4000)
+            y[: len(xs)] = xs * 0.2 / np.sqrt(np.mean(xs[np.abs(xs) > 1e-3] ** 2))
+            angle = (-0.7 + 1.4 * i + 1) * np.pi / 4
+            gains = (np.cos(angle), np.sin(angle)) if focus is None else (1.2, 0.0) if p == focus else (0.0, 0.1)
+            stereo += np.outer(gains, y)
+        response = signal.reverb_response(rate)
+        stereo += 0.07 * np.stack([np.convolve(stereo[c], response[c])[:4000] for c in range(2)])
+        clicks = np.zeros(4000)
+        for t, (freq, length, gain) in ((0.0, (1760, 0.035, 1.0)), (0.5, (1320, 0.035, 0.8)), (1.99, (1100, 0.025, 0.45))):
+            c = signal.click(rate, freq, length) * gain
+            k = min(len(c), 4000 - int(t * rate))
+            clicks[int(t * rate) : int(t * rate) + k] += c[:k]
+        stereo += 0.35 * np.outer((1, 1) if focus is None else (0, 1.3), clicks)
+        active = np.abs(stereo).max(axis=0) > 0.01 * np.abs(stereo).max()
+        stereo *= 0.2 / max(np.sqrt(np.mean(stereo[c, active] ** 2)) for c in range(2))
+        level = np.abs(stereo).max(axis=0)
+        gain = np.minimum(1, 0.93 / np.maximum(signal.sliding_reflect(level, 21, "max"), 1e-9))
+        gain = signal.sliding_reflect(signal.sliding_reflect(gain, 160, "min"), 20, "mean")
+        want = np.clip(stereo * gain, -0.93, 0.93)
+        assert np.allclose([[r["left"] for r in out], [r["right"] for r in out]], want, atol=1e-6)
+    assert mixdown.mixdown(samples.limit(0), parts).collect() == []
+
+
+def test_performance_is_sung(spark):
+    from tidemark.plans import performance, voices
+
+    bars = spark.createDataFrame([("s", 0, 0.0, 4.0, True, True, 2)], "score_id string, idx int, start double, length double, repeat_start boolean, repeat_end boolean, repeat_times int")
+    played = performance.performed_measures(bars, spark.createDataFrame([("s", 0.0, 60.0)], "score_id string, start double, qpm double"))
+    schema = "score_id string, part string, voice int, start double, dur double, midi int, lyrics map<int,struct<text:string,hyphen_after:boolean>>, measure int"
+    notes = spark.createDataFrame([("s", "T", 1, 0.0, 1.0, 60, {1: ("ri", True), 2: ("la", False)}, 0), ("s", "T", 1, 1.0, 1.0, 62, {1: ("ver", False)}, 0), ("s", "T", 1, 2.0, 1.0, 62, None, 0), ("s", "T", 1, 3.0, 1.0, 64, None, 0)], schema)
+    lexicon = spark.createDataFrame([("river", "en-us", "ˈɹɪvə"), ("ver", "en-us", "vɜː")], "word string, lang string, ipa string")
+    out = voices.sung_notes(performance.performed_notes(notes, played), frozenset({"river", "ver"}), lexicon).orderBy("t").collect()
+    sung = [None if r["syllable"] is None else "".join(r["syllable"]["onset"]) + r["syllable"]["nucleus"] for r in out]
+    assert sung == ["rI", "v@", "vr=", None, "lA", "vr=", "vr=", None]

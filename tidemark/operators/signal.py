@@ -80,15 +80,20 @@ def sliding_mirrored(df: DataFrame, keys, index: str, value: str, size: int, how
     return done.where("__c.own").drop("__n", "__c", "__p")
 
 
-def limit_peaks(df: DataFrame, keys, index: str, value: str, rate: int, ceiling: float = 0.93) -> DataFrame:
-    """``df`` with ``limited``: the gain keeps the envelope (a maximum over 10 ms) under the ceiling, is held at its lowest for 80 ms and smoothed over 10 ms; the result is clipped at the ceiling."""
+def peak_gain(df: DataFrame, keys, index: str, level: str, rate: int, ceiling: float, name: str) -> DataFrame:
+    """``df`` with the gain that keeps a level (not negative) under the ceiling: by its maximum over 10 ms, held at its lowest for 80 ms and smoothed over 10 ms."""
     short, hold, mean = 2 * int(0.005 * rate) + 1, int(0.08 * rate), int(0.01 * rate)
-    rows = sliding_mirrored(df.withColumn("__a", F.abs(value)), keys, index, "__a", short, "max", "__env")
+    rows = sliding_mirrored(df, keys, index, level, short, "max", "__env")
     gain = rows.withColumn("__g", F.least(F.lit(1.0), F.lit(ceiling) / F.greatest(F.col("__env"), F.lit(1e-9))))
     held = sliding_mirrored(gain, keys, index, "__g", hold, "min", "__h")
-    smooth = sliding_mirrored(held, keys, index, "__h", mean, "avg", "__s")
+    return sliding_mirrored(held, keys, index, "__h", mean, "avg", name).drop("__env", "__g", "__h")
+
+
+def limit_peaks(df: DataFrame, keys, index: str, value: str, rate: int, ceiling: float = 0.93) -> DataFrame:
+    """``df`` with ``limited``: the value times its ``peak_gain``, clipped at the ceiling."""
+    smooth = peak_gain(df.withColumn("__a", F.abs(value)), keys, index, "__a", rate, ceiling, "__s")
     out = F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), F.col(value) * F.col("__s")))
-    return smooth.withColumn("limited", out).drop("__a", "__env", "__g", "__h", "__s")
+    return smooth.withColumn("limited", out).drop("__a", "__s")
 
 
 def shelf(sample_rate: float, f0: float, gain_db: float, high: bool) -> tuple[list[float], list[float]]:

@@ -32,7 +32,7 @@ def performed_notes(notes: DataFrame, played: DataFrame) -> DataFrame:
     timed = at.withColumn("t", F.col("__t") + (F.col("start") - F.col("__bar")) * rate).withColumn("seconds", F.col("dur") * rate)
     timed = timed.withColumn("__s", verse_of_pass(F.col("lyrics"), F.col("pass"))).withColumns({"text": split_glued(F.col("__s.text")), "hyphen_after": F.coalesce(F.col("__s.hyphen_after"), F.lit(False))})
     sung = ordered.continue_words(timed, ["score_id", "part", "voice"], ["position", "t", "midi"], "text", "hyphen_after", "t", "seconds", "midi")
-    return sung.select("score_id", "part", "voice", "position", "pass", "t", F.col("seconds").alias("dur"), "midi", "text", "sung", "word")
+    return sung.select("score_id", "part", "voice", "position", "pass", "t", F.col("seconds").alias("dur"), "midi", "text", "hyphen_after", "sung", "word")
 
 
 def beats_of(played: DataFrame, measures: DataFrame, click: float | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ VOICE = ["score_id", "part", "voice"]
 
 def sung_notes(performed: DataFrame, dictionary: frozenset[str], lexicon: DataFrame, lang: str = "en-us") -> DataFrame:
     """Performed notes (``plans.performance.performed_notes``) with ``syllable`` and ``extra``: what each note sings; null where the vowel before goes on. A note that sings a syllable again counts as a word of its own."""
-    again = performed.withColumn("hyphen", F.col("text").isNotNull() & F.coalesce(F.col("hyphen_after"), F.lit(False))) if "hyphen_after" in performed.columns else performed.withColumn("hyphen", F.lit(False))
-    return syllabify(again, VOICE, ["position", "t", "midi"], "sung", "hyphen", dictionary, lexicon, lang)
+    own = performed.withColumn("hyphen", F.col("text").isNotNull() & F.coalesce(F.col("hyphen_after"), F.lit(False)))
+    return syllabify(own, VOICE, ["position", "t", "midi"], "sung", "hyphen", dictionary, lexicon, lang)
 
 
 def sung_groups(notes: DataFrame, detune: float = 0.0) -> DataFrame:

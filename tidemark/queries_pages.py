@@ -283,3 +283,34 @@ def lyric_notes(spark, sf_dir):
     rows = symbols(spark, sf_dir).withColumn("dx", F.col("x") * 0.25)
     sides = [rows.where(f"st {'=' if above else '<>'} 'F'").withColumn("score", pages.lyric_score(F.col("dx"), F.col("y"), F.lit(4.0), F.lit(above))).select("p", "ln", "score", "ord", "dx") for above in (False, True)]
     return structure.best_scoring(sides, ["p", "ln"], "score", "ord", F.col("dx") < 60).select("p", "ln", F.round("score", 6).alias("score"), "ord")
+
+
+@query(f"""WITH {SYMBOLS}, c AS (SELECT p, ln AS idx, ord, x, y, st = 'F' AS up, s > 4 AS rest, s = 3 AS bare, 1 + s % 3 AS dur FROM l),
+    n AS (SELECT DISTINCT a.p, a.idx FROM c a JOIN c b ON a.p = b.p AND a.idx = b.idx WHERE NOT a.rest AND NOT b.rest AND a.up AND NOT b.up AND abs(a.x - b.x) < 4 * CASE WHEN a.bare OR b.bare THEN 2.2 ELSE 1.6 END),
+    t AS (SELECT p, idx, sum(dur) AS a, coalesce(sum(dur) FILTER (WHERE NOT rest AND up), 0) AS u, coalesce(sum(dur) FILTER (WHERE NOT rest AND NOT up), 0) AS d, bool_or(NOT rest AND up) AS hu, bool_or(NOT rest AND NOT up) AS hd, bool_or(rest AND abs(y - 25) > 1.2 * 4) AS off FROM c GROUP BY p, idx),
+    f AS (SELECT t.p, t.idx, n.p IS NOT NULL OR (hu AND hd AND off AND a > 1.9 * greatest(u, d)) AS two FROM t LEFT JOIN n USING (p, idx))
+    SELECT c.p, c.ord, CASE WHEN two AND CASE WHEN rest THEN y > 25 ELSE NOT up END THEN 1 ELSE 0 END::INT AS voice FROM c JOIN f USING (p, idx)""")
+def split_voices(spark, sf_dir):
+    """Two voices of a staff in a bar, by stems and rests."""
+    from .plans import score
+
+    rows = symbols(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    chords = rows.select(
+        F.lit("s").alias("score_id"), F.lit(0).alias("page"), F.lit(0).alias("system"), F.col("p").alias("staff"), F.col("ln").alias("idx"), "ord", "x", "y", (F.col("st") == "F").alias("up"), (F.col("s") > 4).alias("is_rest"),
+        F.when(F.col("s") == 3, none).otherwise(F.col("x")).alias("stem_x"), (1.0 + F.col("s") % 3).alias("dur"), F.lit(False).alias("full_bar"), F.lit(25.0).alias("mid"), F.lit(4.0).alias("space"),
+    )
+    return score.split_voices(chords).select(F.col("staff").alias("p"), "ord", "voice")
+
+
+@query(f"""WITH {SYMBOLS}, b AS (SELECT p, ord, x, s + 24 AS bottom FROM l WHERE st = 'O' AND f = 'R'), h AS (SELECT p, ord, x, y FROM l WHERE st = 'F'),
+    k AS (SELECT h.p, h.ord, arg_max(b.bottom, struct_pack(x := b.x, o := b.ord)) AS bottom FROM h JOIN b ON b.p = h.p AND b.x <= h.x + 1 GROUP BY ALL)
+    SELECT h.p, h.ord, coalesce(k.bottom, 30)::INT AS bottom FROM h LEFT JOIN k USING (p, ord)""")
+def clef_at(spark, sf_dir):
+    """The clef in force at a head: the last one at most 1 right of it, else treble."""
+    from .operators import joins
+
+    rows = symbols(spark, sf_dir)
+    marks = rows.where("st = 'O' and f = 'R'").select("p", (F.col("x") - 1).alias("x"), "ord", (F.col("s") + 24).alias("bottom"))
+    found = joins.asof(rows.where("st = 'F'").select("p", F.col("ord").alias("head"), "x"), marks, KEY, "x", ["ord"], ["bottom"])
+    return found.select("p", F.col("head").alias("ord"), F.coalesce("bottom", F.lit(30)).alias("bottom"))
