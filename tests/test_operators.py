@@ -219,3 +219,46 @@ def test_interpolation_across_blocks_with_missing_knots(spark, tmp_path):
     assert [x for x, _ in got] == ids[1:]
     want = {7: 7, 35000: 35000, 35001: 35000}
     assert [y for _, y in got] == pytest.approx([1000.0 * want.get(i, i) for i in ids[1:]])
+
+
+def test_blocks_of_the_axis_change_nothing(spark):
+    """As-of, nearest and interpolation by blocks give what they give by whole keys; with null keys and places, ties, repeats and empty sides."""
+    rnd = random.Random(11)
+    at = lambda: rnd.choice([None, *[float(x) for x in range(60)]])
+    left = spark.createDataFrame([(rnd.choice([None, 1, 2, 3]), at(), i) for i in range(150)] + [(1, 5.0, 999)] * 3, "k int, t double, l int")
+    right = spark.createDataFrame([(rnd.choice([None, 1, 2]), at(), i) for i in range(40)], "k int, t double, r int")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    for r in (right, right.limit(0)):
+        for strict in (False, True):
+            for first in (False, True):
+                whole = joins.asof(left, r, ["k"], "t", ["r"], ["r"], strict, first)
+                assert same(whole, joins.asof(left, r, ["k"], "t", ["r"], ["r"], strict, first, width=7.0)) and whole.count() == left.count()
+        assert same(joins.nearest(left, r, ["k"], "t", "l", ["r"], "r"), joins.nearest(left, r, ["k"], "t", "l", ["r"], "r", width=4.0))
+        assert same(signal.interpolate(r.groupBy("k", "t").agg(F.min("r").alias("r")), left, ["k"], "t", "r"), signal.interpolate(r.groupBy("k", "t").agg(F.min("r").alias("r")), left, ["k"], "t", "r", width=9.0))
+    by_hand = {}
+    for k, t, i in left.collect():
+        c = [(x["t"], x["r"]) for x in right.collect() if x["k"] == k and x["t"] is not None and t is not None and x["t"] <= t]
+        by_hand.setdefault((k, t, i), max(c)[1] if c else None)
+    assert all(by_hand[r["k"], r["t"], r["l"]] == r["r"] for r in joins.asof(left, right, ["k"], "t", ["r"], ["r"]).collect())
+
+
+def test_overlaps_with_nulls_and_repeats(spark):
+    left = spark.createDataFrame([(1, 0, 5, "a"), (1, 0, 5, "a"), (1, 0, 5, None), (1, 20, 30, None), (None, 0, 5, "n"), (1, None, 5, "s"), (2, 0, 1, "z")], "k int, l_start int, l_end int, note string")
+    right = spark.createDataFrame([(1, 4, 6), (1, None, 9), (None, 0, 9), (2, 1, 2)], "k int, r_start int, r_end int")
+    semi = joins.interval_overlap(left, right, ["k"], 8.0, how="left_semi").collect()
+    anti = joins.interval_overlap(left, right, ["k"], 8.0, how="left_anti").collect()
+    assert sorted(map(repr, (r["note"] for r in semi))) == ["'a'", "'a'", "None"] and sorted(map(repr, (r["note"] for r in anti))) == ["'n'", "'s'", "'z'", "None"]
+    assert joins.interval_overlap(left.limit(0), right, ["k"], 8.0, how="left_anti").collect() == [] and joins.interval_overlap(left, right.limit(0), ["k"], 8.0, how="left_anti").count() == 7
+
+
+def test_k_nearest_equals_all_pairs(spark):
+    rnd = random.Random(12)
+    left = spark.createDataFrame([(rnd.randint(0, 3), rnd.randint(0, 40), i) for i in range(60)] + [(1, 7, 5)], "k int, x int, l int")
+    right = spark.createDataFrame([(rnd.randint(0, 2), rnd.randint(0, 40), i) for i in range(30)], "k int, y int, r int")
+    out = {}
+    for r in joins.k_nearest(left, right, ["k"], "x", "y", "r", 3).collect():
+        out.setdefault((r["k"], r["x"], r["l"]), []).append((r["rank"], r["distance"], r["r"]))
+    for k, x, i in {tuple(r) for r in left.collect()}:
+        pairs = sorted((abs(x - y), r) for kk, y, r in right.collect() if kk == k)[:3]
+        n = sum(tuple(r) == (k, x, i) for r in left.collect())
+        assert sorted(out.get((k, x, i), [])) == sorted((j + 1, d, r) for j, (d, r) in enumerate(pairs) for _ in range(n))

@@ -12,31 +12,66 @@ from pyspark.sql import functions as F
 Cols = Sequence[str]
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Cols, at: str, order: Cols, take: Cols, strict: bool = False, default_first: bool = False) -> DataFrame:
-    """For each left row the ``take`` columns of the last right row with the same keys and ``at`` not after its own (``strict``: before).
+def edges(right: DataFrame, keys: Cols, block: Column, rows: DataFrame, first: Column, last: Column, default_first: bool = False) -> DataFrame:
+    """For blocks of an axis that are handled apart: keys, __block, __before (the ``last`` of the nearest earlier block with right rows; with ``default_first`` the first of the keys where there is none), __after (the ``first`` of the nearest later one). One row for each block that
+    ``rows`` or ``right`` has (column __block), so what is gathered for a key is in proportion to its blocks."""
+    own = right.withColumn("__block", block).groupBy(*keys, "__block").agg(first.alias("__first"), last.alias("__last"))
+    every = own.unionByName(rows.select(*keys, "__block").distinct(), allowMissingColumns=True).groupBy(*keys, "__block").agg(F.max("__first").alias("__first"), F.max("__last").alias("__last"))
+    w = W.partitionBy(*keys).orderBy("__block")
+    back = F.last("__last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    if default_first:
+        back = F.coalesce(back, F.first("__first", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    ahead = F.last("__first", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(W.unboundedPreceding, -1))
+    return every.select(*keys, "__block", back.alias("__before"), ahead.alias("__after"))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Cols, at: str, order: Cols, take: Cols, strict: bool = False, default_first: bool = False, width: float | None = None) -> DataFrame:
+    """For each left row the ``take`` columns of the last right row with the same keys and ``at`` not after its own (``strict``: before), null without one.
     Of equal ``at`` the greatest by ``order`` counts. One union and one sort, linear in both sides; ``default_first`` takes the
-    first right row where none is before."""
+    first right row where none is before. ``width``: cut the axis into blocks of it, so that a key (or no key at all) is not one task; each block also gets the last right row before it.
+
+    Repeated left rows stay. Null keys match each other; right rows with a null ``at`` are left out, and left rows with one find nothing (``default_first``: the first)."""
+    there = right.where(F.col(at).isNotNull())
     cols = [c for c in left.columns]
-    r = right.select(*keys, at, F.struct(*take).alias("__r"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.lit(1 if strict else 0).alias("__side"))
+    taken, ranks = F.struct(*take), [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    r = there.select(*keys, at, taken.alias("__r"), *ranks, F.lit(1 if strict else 0).alias("__side"))
     types = dict(zip(r.columns, (f.dataType for f in r.schema.fields), strict=True))
     l = left.select(*keys, at, F.struct(*cols).alias("__l"), F.lit(0 if strict else 1).alias("__side"))  # noqa: E741
+    parts = [*keys]
+    if width is not None:
+        block = F.coalesce(F.floor(F.col(at) / width), F.lit(-(1 << 62)))
+        l, r, parts = l.withColumn("__block", block), r.withColumn("__block", block), [*keys, "__block"]  # noqa: E741
+        place = F.struct(F.col(at), *[F.col(c) for c in order])
+        carried = edges(there, keys, block, l, F.min_by(taken, place), F.max_by(taken, place), default_first).where("__before is not null")
+        none = [F.lit(None).cast(types[f"__o{i}"]).alias(f"__o{i}") for i in range(len(order))]
+        r = r.unionByName(carried.select(*keys, F.lit(None).cast(types[at]).alias(at), F.col("__before").alias("__r"), *none, F.lit(-1).alias("__side"), "__block"))
     both = l.select("*", F.lit(None).cast(types["__r"]).alias("__r"), *[F.lit(None).cast(types[f"__o{i}"]).alias(f"__o{i}") for i in range(len(order))]).unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(at, "__side", *[f"__o{i}" for i in range(len(order))])
+    w = W.partitionBy(*parts).orderBy(at, "__side", *[f"__o{i}" for i in range(len(order))])
     found = F.last("__r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    if default_first:
+    if default_first and width is None:
         found = F.coalesce(found, F.first("__r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return both.withColumn("__f", found).where("__l is not null").select("__l.*", *[F.col(f"__f.{c}").alias(c) for c in take])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: Cols, at: str, left_id: str, take: Cols, right_order: str, limit: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: Cols, at: str, left_id: str, take: Cols, right_order: str, limit: float | None = None, width: float | None = None) -> DataFrame:
     """For each left row the right row of the same keys nearest along ``at``; of equal distances the smallest ``right_order``. Looks back
-    and ahead once each in a sort of both sides (not at all pairs). Left rows without a partner, or beyond ``limit``, are dropped."""
-    r = right.groupBy(*keys, at).agg(F.min(F.struct(right_order, *[c for c in take if c != right_order])).alias("__r")).withColumn("__at", F.col(at))
-    l = left.select(*keys, at, F.struct(*left.columns).alias("__l"))  # noqa: E741
-    both = l.unionByName(r.withColumn("__s", F.struct("__at", "__r")).drop("__r", "__at"), allowMissingColumns=True)
-    back = W.partitionBy(*keys).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
+    and ahead once each in a sort of both sides (not at all pairs). ``width``: cut the axis into blocks of it, so that a key is not one task; each block also gets the nearest right rows before and after it.
+
+    Left rows without a partner, with a null ``at``, or beyond ``limit``, are dropped; repeated ones stay. Null keys match each other."""
+    there = right.where(F.col(at).isNotNull())
+    r = there.groupBy(*keys, at).agg(F.min(F.struct(right_order, *[c for c in take if c != right_order])).alias("__r")).withColumn("__s", F.struct(F.col(at).alias("__at"), "__r")).drop("__r")
+    l = left.where(F.col(at).isNotNull()).select(*keys, at, F.struct(*left.columns).alias("__l"))  # noqa: E741
+    parts = [*keys]
+    if width is not None:
+        block = F.floor(F.col(at) / width)
+        l, r, parts = l.withColumn("__block", block), r.withColumn("__block", block), [*keys, "__block"]  # noqa: E741
+        around = edges(r.drop("__block"), keys, block, l, F.min("__s"), F.max("__s"))
+        ends = around.select(*keys, "__block", F.explode(F.array_compact(F.array("__before", "__after"))).alias("__s"))
+        r = r.unionByName(ends.select(*keys, F.col("__s.__at").alias(at), "__s", "__block"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    back = W.partitionBy(*parts).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     # looking ahead is looking back in descending order: a frame that ends at the current row grows row by row
-    ahead = W.partitionBy(*keys).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    ahead = W.partitionBy(*parts).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     found = both.withColumn("__b", F.last("__s", ignorenulls=True).over(back)).withColumn("__a", F.last("__s", ignorenulls=True).over(ahead)).where("__l is not null")
     near = lambda c: F.struct(F.abs(F.col(at) - F.col(f"{c}.__at")).alias("d"), F.col(f"{c}.__r").alias("r"))
     best = found.withColumn("__n", F.array_min(F.filter(F.array(near("__b"), near("__a")), lambda s: s["d"].isNotNull()))).where("__n is not null")

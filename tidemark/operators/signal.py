@@ -7,16 +7,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import edges
 from .ordered import fold
 
 
-def interpolate(knots: DataFrame, grid: DataFrame, keys, at: str, value: str) -> DataFrame:
-    """Linear interpolation of the knots at the grid's places; outside it keeps the first or last value. One union and a sort each way."""
-    both = knots.select(*keys, at, F.struct(at, value).alias("__k")).unionByName(grid.select(*keys, at, F.lit(True).alias("__g")), allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(at)
-    lo = F.last("__k", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+def interpolate(knots: DataFrame, grid: DataFrame, keys, at: str, value: str, width: float | None = None) -> DataFrame:
+    """Linear interpolation of the knots at the grid's places; outside it keeps the first or last value. One union and a sort each way. ``width``: cut the axis into blocks of it, so that a key (or no key at all) is not one task; each block also gets the last knot before it and
+    the first one after it. Knots with a null place or value are left out; keys without knots give null; repeated places of the grid stay."""
+    knots = knots.where(F.col(at).isNotNull() & F.col(value).isNotNull())
+    k = knots.select(*keys, at, F.struct(at, value).alias("__k"))
+    g = grid.select(*keys, at, F.lit(True).alias("__g"))
+    parts = [*keys]
+    if width is not None:
+        block = F.floor(F.col(at) / width)
+        g, parts = g.withColumn("__block", block), [*keys, "__block"]
+        around = edges(k, keys, block, g, F.min("__k"), F.max("__k"))
+        ends = around.select(*keys, "__block", F.explode(F.array_compact(F.array("__before", "__after"))).alias("__k"))
+        k = k.withColumn("__block", block).unionByName(ends.select(*keys, F.col(f"__k.{at}").alias(at), "__k", "__block"))
+    both = k.unionByName(g, allowMissingColumns=True)
+    lo = F.last("__k", ignorenulls=True).over(W.partitionBy(*parts).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow))
     # looking ahead is looking back in descending order: a frame that ends at the current row grows row by row
-    hi = F.last("__k", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
+    hi = F.last("__k", ignorenulls=True).over(W.partitionBy(*parts).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
     found = both.withColumn("__lo", lo).withColumn("__hi", hi).where("__g")
     a, b, x = F.col("__lo"), F.col("__hi"), F.col(at)
     inner = a[value] + (b[value] - a[value]) * (x - a[at]) / (b[at] - a[at])

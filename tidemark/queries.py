@@ -96,7 +96,7 @@ def asof_lookup(spark, sf_dir):
 def asof_strict(spark, sf_dir):
     e = events(spark, sf_dir)
     marks = e.where("event_type = 'signup'").select("user_id", "s", F.col("event_id").alias("signup_id"))
-    return joins.asof(e.select("event_id", "user_id", "s"), marks, ["user_id"], "s", ["signup_id"], ["signup_id"], strict=True).select("event_id", "signup_id")
+    return joins.asof(e.select("event_id", "user_id", "s"), marks, ["user_id"], "s", ["signup_id"], ["signup_id"], strict=True, width=30 * 86400).select("event_id", "signup_id")
 
 
 @query(f"""{EVENTS} SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN cents END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM e""")
@@ -109,7 +109,7 @@ def forward_fill(spark, sf_dir):
 def nearest_event(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "user_id", "s", "event_type")
     right = e.where("event_type = 'purchase'").select("user_id", "s", F.col("event_id").alias("near_id"))
-    found = joins.nearest(e.where("event_type = 'error'").drop("event_type"), right, ["user_id"], "s", "event_id", ["near_id"], "near_id")
+    found = joins.nearest(e.where("event_type = 'error'").drop("event_type"), right, ["user_id"], "s", "event_id", ["near_id"], "near_id", width=20 * 86400)
     return found.select("event_id", "near_id", "distance")
 
 
@@ -337,18 +337,11 @@ def interpolate_grid(spark, sf_dir):
 
 
 def _between_knots(e: DataFrame, size: int = 7 * 1000) -> DataFrame:
-    """The y of the rows whose x is a multiple of 7, interpolated at every x from the first of them on. Blocks of the axis are independent: each
-    also gets the last knot before it and the first one after it, found among one row for each block."""
-    grid = e.withColumn("block", F.floor(F.col("x") / size))
-    own = grid.where("x % 7 = 0").select("block", "x", "y").distinct()
-    knot = F.when(F.col("x") % 7 == 0, F.struct("x", "y"))
-    blocks = grid.groupBy("block").agg(F.min(knot).alias("first"), F.max(knot).alias("last"))
-    before = F.last("last", ignorenulls=True).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    after = F.last("first", ignorenulls=True).over(W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1))
-    around = blocks.select("block", F.array_compact(F.array(before, after)).alias("ks")).select("block", F.explode("ks").alias("k")).select("block", "k.x", "k.y")
-    start = own.agg(F.min("x").alias("__start"))
-    reached = grid.crossJoin(F.broadcast(start)).where(F.col("x") >= F.col("__start")).drop("__start")
-    return signal.interpolate(own.unionByName(around), reached, ["block"], "x", "y").select("x", "y")
+    """The y of the rows whose x is a multiple of 7, interpolated at every x from the first of them on, in blocks of the axis."""
+    knots = e.where("x % 7 = 0")
+    start = knots.agg(F.min("x").alias("__start"))
+    reached = e.crossJoin(F.broadcast(start)).where(F.col("x") >= F.col("__start")).drop("__start")
+    return signal.interpolate(knots, reached, [], "x", "y", size).select("x", "y")
 
 
 @query(f"""{EVENTS}, l AS (SELECT user_id, list(cents::DOUBLE ORDER BY s, event_id) AS xs FROM e GROUP BY user_id) SELECT user_id, list_reduce(xs, lambda y, x: y * 0.5::DOUBLE + x) AS last, len(xs) AS n FROM l""")
