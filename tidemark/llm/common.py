@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a worker handles at once. Spark bounds a batch in bytes; texts can be long, so their results are made in smaller steps.
+#: Rows that go to a worker at once, and that it handles as objects at once. Texts can be long, so these are few.
 BATCH_ROWS = 512
 #: A key that holds more than one in so many of all rows is hot; there are at most so many of them, so they can be broadcast.
 HOT_SHARE = 10_000
@@ -23,6 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a look at its session: where rows go to Python workers in larger batches than BATCH_ROWS (by default 10,000 or 64 MB), the session's setting is lowered to that, as plans run later than this and
+    the setting holds for a session as a whole. A smaller one is left alone. Every operator that sends texts to workers does this, so their memory does not depend on who calls them."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches) -> Iterator:
     """The record batches in parts of at most BATCH_ROWS rows."""
     for batch in batches:

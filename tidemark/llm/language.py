@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, in_slices, read
+from .common import crc32_of_id, fresh, in_slices, read, small_batches
 
 #: Hashed n-grams of 1 to 3 letters; centroids of a language.
 DIM, CENTROIDS = 4096, 3
@@ -128,7 +128,7 @@ def train(df: DataFrame, lang_column: str = "lang", text_column: str = "text", p
     """Fit on at most ``in_all`` labelled texts, the same number of each language (``per_language``, or fewer where there are many languages, but at
     least CENTROIDS; all that a smaller one has), chosen by the text's hash. Every language is learned: more of them than in_all / CENTROIDS
     raise. Texts without a language or a letter are left out; equal texts count once. What reaches the driver is bounded by ``in_all`` vectors."""
-    rows = df.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("train"), F.col(text_column)).alias("h"))
+    rows = small_batches(df).where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.lit("train"), F.col(text_column)).alias("h"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     n = {r["lang"]: r["n"] for r in sizes.limit(in_all // CENTROIDS + 1).collect()}
     if not n:
@@ -165,7 +165,7 @@ def predict(df: DataFrame, model: Model, text_column: str = "text"):
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang", "score", "rejected"])
 
     (p,) = fresh(df, "p")
-    out = df.withColumn(p, run.asNondeterministic()(F.col(text_column)))
+    out = small_batches(df).withColumn(p, run.asNondeterministic()(F.col(text_column)))
     return out.withColumns({"lang_pred": F.col(f"{p}.lang"), "lang_score": F.col(f"{p}.score"), "lang_rejected": F.col(f"{p}.rejected")}).drop(p)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_slices, read, slices
+from .common import fresh, in_slices, read, slices, small_batches
 from .statistics import counts
 
 #: Buckets of hashed n-grams, the smoothing of a bucket, and the ratio per n-gram below which a document is dropped.
@@ -51,7 +51,7 @@ def totals(df: DataFrame, flag: str, text_column: str = "text"):
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flagged[at], pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "flagged", "n"])
 
     flagged, out = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
-    counted = df.select(text_column, flag).mapInArrow(run, "bucket int, flagged long, n long")
+    counted = small_batches(df).select(text_column, flag).mapInArrow(run, "bucket int, flagged long, n long")
     for r in counted.groupBy("bucket").agg(F.sum("flagged").alias("flagged"), F.sum("n").alias("n")).collect():
         flagged[r["bucket"]], out[r["bucket"]] = r["flagged"], r["n"]
     return flagged, out
@@ -86,7 +86,7 @@ def judge(df: DataFrame, ratios, text_column: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in names] + [pa.array(llr, pa.float64())], names=[*names, "llr"])
 
     (j,) = fresh(df, "j")
-    out = df.withColumn(j, run.asNondeterministic()(F.col(text_column)))
+    out = small_batches(df).withColumn(j, run.asNondeterministic()(F.col(text_column)))
     out = out.withColumns({n: F.col(f"{j}.{n}") for n in (*names, "llr")}).drop(j)
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= KEEP_AT))

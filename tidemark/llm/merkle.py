@@ -20,7 +20,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, n_partitions, range_bounds, range_bucket, read, slices, text_hash, whole_numbers
+from .common import in_slices, n_partitions, range_bounds, range_bucket, read, slices, small_batches, text_hash, whole_numbers
 
 #: A segment ends after a word whose crc32 is divisible by this, or after MOST_WORDS words, or with its line.
 CUT_EVERY, MOST_WORDS = 3, 12
@@ -155,7 +155,7 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: s
     """
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_differing long, first_differing string"
     spark = df.sparkSession
-    rows = df.select(whole_numbers(df, id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("h", text_hash("text"))
+    rows = small_batches(df).select(whole_numbers(df, id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("h", text_hash("text"))
     bounds = range_bounds(rows, "id", n_partitions(spark))
     n = len(bounds) + 1
     placed = rows.withColumn("bucket", range_bucket(F.col("id"), F.col("h"), bounds))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, fresh, in_slices, read
+from .common import crc32_of_id, fresh, in_slices, read, small_batches
 from .statistics import NAMES, vector
 
 #: Bound of the training sample (labelled documents), trees, their depth, the L1 penalty, its steps, and the fewest documents of a node.
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     a repeated id counts once, with its least label and text."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("labelled")).agg(F.min(label).alias("y")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     # at most ``sample`` rows of 12 bytes: small enough to broadcast at any size of the input
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("id", "y", statistics_of(F.col("text")).alias("s"))
     rows = found.groupBy("id").agg(F.min("y").alias("y"), F.min("s").alias("s")).collect()
     rows.sort(key=lambda r: r["id"])
@@ -136,7 +136,7 @@ def score(df: DataFrame, model, text_column: str = "text") -> DataFrame:
     """``df`` with ``quality_score`` (0 to 1); only the text is looked at, null as the empty text. A column of this name in the input is
     replaced. No shuffle."""
     (s,) = fresh(df, "s")
-    return df.withColumn(s, statistics_of(F.col(text_column))).withColumn("quality_score", score_column(model, F.col(s))).drop(s)
+    return small_batches(df).withColumn(s, statistics_of(F.col(text_column))).withColumn("quality_score", score_column(model, F.col(s))).drop(s)
 
 
 def trained(spark, sf_dir: str):

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, discard, fresh, in_slices, join_counted, materialize, n_partitions, read, text_hash
+from .common import HOT_SHARE, discard, fresh, in_slices, join_counted, materialize, n_partitions, read, small_batches, text_hash
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     compared, so large groups of copies cost one fingerprint, and neither copies of a text nor members of a component are
     gathered in a task (``join_counted``). Two tables of some 30 bytes a row stay in the shared folder, as the result reads them.
     """
-    rows = materialize(df.select(F.col(id_column).alias("id"), text_hash(text_column).alias("text_hash"), fingerprint(F.col(text_column)).alias("fp")), "prints")
+    rows = materialize(small_batches(df).select(F.col(id_column).alias("id"), text_hash(text_column).alias("text_hash"), fingerprint(F.col(text_column)).alias("fp")), "prints")
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "distinct")
     found = links(prints.select("fp"), radius)
     labels = components(found)
