@@ -18,6 +18,10 @@ from tidemark.llm import bpe, language, mixing, rules, simhash
 from tidemark.llm.common import crc32_of_id, discard, materialize, read, temporaries
 
 
+#: Entries of the encoder's caches: fewer than by default, since workers that have run the other stages hold their models too.
+CACHE_ENTRIES = 150_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects: null and empty texts, texts without a letter, and those too far from every centroid. Without any
     labelled language all are rejected."""
@@ -45,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and ids_sha256 of every row; null and empty texts have no ids."""
-    done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_entries=CACHE_ENTRIES)
     return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
 
 
