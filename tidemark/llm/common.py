@@ -23,20 +23,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after a look at its session: where rows go to Python workers in larger batches than BATCH_ROWS (by default 10,000 or 64 MB), the session's setting is lowered to that, as plans run later than this and
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``, after a look at its session: where rows go to Python workers in larger batches than ``rows`` (by default 10,000 or 64 MB), the session's setting is lowered to that, as plans run later than this and
     the setting holds for a session as a whole. A smaller one is left alone. Every operator that sends texts to workers does this, so their memory does not depend on who calls them."""
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
     return df
 
 
-def slices(batches) -> Iterator:
-    """The record batches in parts of at most BATCH_ROWS rows."""
+def slices(batches, rows: int = BATCH_ROWS) -> Iterator:
+    """The record batches in parts of at most so many rows."""
     for batch in batches:
-        for i in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(i, BATCH_ROWS)
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def in_slices(column, make) -> list:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CachedEncoder, Vocabulary
+from .bpe import ENCODED_ROWS, CachedEncoder, Vocabulary
 from .common import n_partitions, open_input, open_output, range_bounds, range_bucket, read, shared_dir, slices, small_batches, text_hash, whole_numbers
 
 #: Ids of a frame at most.
@@ -164,7 +164,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, directory: str, end_id: int
     empty texts have the end id alone; further columns are not carried. Token ids beyond the width and document ids that are no whole numbers raise.
     """
     spark = df.sparkSession
-    rows = small_batches(df).select(whole_numbers(df, id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = small_batches(df, ENCODED_ROWS).select(whole_numbers(df, id_column).alias("id"), F.col(text_column).alias("text"))
     n = n_partitions(spark)
     bounds = range_bounds(rows, "id", n)
     placed = rows.withColumn("bucket", range_bucket(F.col("id"), text_hash("text"), bounds)).repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "id", text_hash("text"))
@@ -177,7 +177,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, directory: str, end_id: int
 
         out = shard = None
         docs = total = 0
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODED_ROWS):
             if out is None:
                 shard = batch.column(2)[0].as_py()
                 uri = f"{directory}/shard-{shard:08d}-{uuid.uuid4().hex}.ids.zst"
